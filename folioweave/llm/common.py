@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def text_runs(batches: Iterable[pa.RecordBatch], run_chars: int = RUN_CHARS) ->
     """Split (id, text) batches into runs of bounded text size; a row is never split or dropped."""
     for batch in batches:
         start = size = 0
-        lengths = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
+        lengths = pc.binary_length(batch.column(1)).fill_null(0).to_pylist()
         for i, n in enumerate(lengths):
             size += n
             if size >= run_chars:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing
+from . import licences, line_dedup, lz_fingerprint, mixing, packing, simhash_dedup, token_counts
 from .common import read
 
 
@@ -22,10 +22,30 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"))
+
+
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(read(spark, sf_dir, "documents"))
+
+
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.copies(read(spark, sf_dir, "documents"))
+
+
+def op10_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.similar_documents(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op4_source_mixing": op4_source_mixing,
     "op6_packing": op6_packing,
+    "op7_token_counts": op7_token_counts,
+    "op8_licence_scan": op8_licence_scan,
+    "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_lz_fingerprints": op10_lz_fingerprints,
 }
 
 SQL: dict[str, str] = {
