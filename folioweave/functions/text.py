@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "tif", "tiff", "j2k", "jp2")
 #: Ids that stand at the end of longer names.
@@ -25,7 +26,7 @@ def normal_form(value: object) -> str:
     return " ".join(re.findall(r"[a-z0-9]+", plain))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized(values: pd.Series) -> pd.Series:
     return values.map(normal_form)
 
@@ -44,7 +45,7 @@ def similarity_of(field: str, a: object, b: object, exact: frozenset[str] = froz
     return 0.0 if field in exact else SequenceMatcher(None, x, y).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([similarity_of("", x, y) for x, y in zip(a, b)], dtype="float64")
 

@@ -50,7 +50,7 @@ def full_page_text(cfg: LinkConfig) -> Column:
     """Text replaced over a whole page, which a sheet laid on it could be taken for."""
     return _all(
         c("full_page_occlusion_count") > 0,
-        page_support() >= 0.75,
+        c("_support") >= 0.75,
         c("ink_mismatch_tiles_fraction") >= cfg.occlusion_full_page_text_min_ink_mismatch_tiles_fraction,
         c("occlusion_material_median") < cfg.occlusion_full_page_text_max_material_median,
         c("inside_unmatched_ink_union_fraction") < cfg.occlusion_full_page_text_max_inside_unmatched_ink_union_fraction,
@@ -70,8 +70,8 @@ def text_erasure(cfg: LinkConfig) -> Column:
         "outside_ink_mismatch_tiles_fraction": cfg.occlusion_geometric_max_outside_ink_mismatch_tiles_fraction,
     }
     return _all(
-        ~full_page_text(cfg),
-        page_support() >= cfg.occlusion_geometric_min_page_support_fraction,
+        ~c("_page_text"),
+        c("_support") >= cfg.occlusion_geometric_min_page_support_fraction,
         *(c(k) >= v for k, v in at_least.items()),
         *(c(k) <= v for k, v in at_most.items()),
     )
@@ -90,14 +90,14 @@ def different_record(cfg: LinkConfig) -> Column:
         tiles >= cfg.contradiction_text_min_ink_mismatch_tiles_fraction,
         c("inside_unmatched_ink_union_fraction") < cfg.occlusion_evidence_min_inside_unmatched_ink_union_fraction,
         material < 0.006,
-        ~text_erasure(cfg),
+        ~c("_erased"),
     )
     spread = _all(
         c("outside_unmatched_ink_union_fraction") >= cfg.occlusion_evidence_distributed_outside_union_fraction,
         c("outside_ink_mismatch_tiles_fraction") >= cfg.occlusion_evidence_distributed_outside_tiles_fraction,
         c("occlusion_ink_mismatch_capture") < 0.60,
     )
-    return _any(overwhelming, thin, spread, full_page_text(cfg))
+    return _any(overwhelming, thin, spread, c("_page_text"))
 
 
 def physical_occlusion(cfg: LinkConfig) -> Column:
@@ -105,7 +105,7 @@ def physical_occlusion(cfg: LinkConfig) -> Column:
     changed, capture, material = c("changed_fraction"), c("occlusion_residual_capture"), c("occlusion_material_median")
     outside_union, outside_tiles = c("outside_unmatched_ink_union_fraction"), c("outside_ink_mismatch_tiles_fraction")
     support = c("occlusion_area_fraction") * c("page_count") / F.greatest(c("occlusion_candidate_count"), F.lit(1))
-    erased = text_erasure(cfg)
+    erased = c("_erased")
     strong = changed >= cfg.occlusion_strong_changed_fraction
     extreme = _all(
         changed >= cfg.occlusion_extreme_changed_fraction,
@@ -121,7 +121,7 @@ def physical_occlusion(cfg: LinkConfig) -> Column:
     gates = (
         registration_support(cfg.occlusion_min_feature_overlap, cfg),
         c("occlusion_candidate_count").between(1, 2),
-        ~different_record(cfg),
+        ~c("_other_record"),
         c("occlusion_ink_mismatch_capture") >= cfg.occlusion_evidence_min_ink_mismatch_capture,
         c("occlusion_localization_contrast") >= cfg.occlusion_evidence_min_localization_contrast,
         _any(c("inside_unmatched_ink_union_fraction") >= cfg.occlusion_evidence_min_inside_unmatched_ink_union_fraction, material >= 0.006, erased),
@@ -168,18 +168,37 @@ def raw_contradiction(cfg: LinkConfig) -> Column:
         union >= cfg.contradiction_overwhelming_unmatched_ink_union_fraction,
         outside_union >= cfg.contradiction_overwhelming_outside_ink_union_fraction,
     )
-    return _any(different_record(cfg), replaced, ~two_sheets & _any(ink, exterior, overwhelming))
+    return _any(c("_other_record"), replaced, ~two_sheets & _any(ink, exterior, overwhelming))
 
 
-def hard_contradiction(accepted: Column, cfg: LinkConfig) -> Column:
-    return ~accepted & raw_contradiction(cfg)
+#: The columns that ``with_rules`` adds.
+RULES = ("_support", "_page_text", "_erased", "_other_record", "_occluded", "_raw")
+
+
+def with_rules(pairs: DataFrame, cfg: LinkConfig) -> DataFrame:
+    """The pairs with the rules as columns, step by step.
+
+    Each rule is used by several later ones. As columns they are computed once
+    and the optimizer keeps the steps apart; nested into each other as
+    expressions they would multiply.
+    """
+    steps = (
+        {"_support": page_support()},
+        {"_page_text": full_page_text(cfg)},
+        {"_erased": text_erasure(cfg)},
+        {"_other_record": different_record(cfg)},
+        {"_occluded": physical_occlusion(cfg), "_raw": raw_contradiction(cfg)},
+    )
+    for step in steps:
+        pairs = pairs.withColumns(step)
+    return pairs
 
 
 NEAR, OCCLUDED = "near_duplicate", "physical_occlusion"
 
 
 def decision(cfg: LinkConfig) -> Column:
-    """struct<accepted, branch, reason>; the first rule that holds decides."""
+    """struct<accepted, branch, reason> over ``with_rules``; the first rule that holds decides."""
 
     def outcome(reason: str, branch: str | None = None) -> Column:
         return F.struct(F.lit(branch is not None).alias("accepted"), F.lit(branch).cast("string").alias("branch"), F.lit(reason).alias("reason"))
@@ -187,13 +206,13 @@ def decision(cfg: LinkConfig) -> Column:
     return (
         F.when(c("valid_fraction") < cfg.min_valid_fraction, outcome("insufficient valid overlap"))
         .when(near_duplicate(cfg), outcome("ink agrees nearly everywhere", NEAR))
-        .when(different_record(cfg), outcome("same form, different entries"))
-        .when(physical_occlusion(cfg), outcome("one large block covers part of the page", OCCLUDED))
+        .when(c("_other_record"), outcome("same form, different entries"))
+        .when(c("_occluded"), outcome("one large block covers part of the page", OCCLUDED))
         .when(~registration_support(cfg.occlusion_min_feature_overlap, cfg), outcome("weak registration support"))
         .when(c("ink_mismatch_tiles_fraction") >= 0.20, outcome("ink disagrees in many places"))
         .when(c("occlusion_candidate_count") == 0, outcome("no block explains the disagreement"))
         .when(c("outside_unmatched_ink_union_fraction") > cfg.occlusion_max_outside_unmatched_ink_union_fraction, outcome("ink disagrees outside the block"))
-        .when(raw_contradiction(cfg), outcome("ink or exterior disagrees all over"))
+        .when(c("_raw"), outcome("ink or exterior disagrees all over"))
         .otherwise(outcome("block support, density or exterior insufficient"))
     )
 
@@ -242,14 +261,14 @@ def decide(pairs: DataFrame, cfg: LinkConfig | None = None, paths: tuple[str, st
     false for it, while its branch and the freedom from contradiction remain.
     """
     cfg = cfg or LinkConfig()
-    out = pairs.withColumn("_d", decision(cfg)).select("*", c("_d.accepted").alias("_accepted"), c("_d.branch").alias("branch"), c("_d.reason").alias("reason")).drop("_d")
+    out = with_rules(pairs, cfg).withColumn("_d", decision(cfg)).select("*", c("_d.accepted").alias("_accepted"), c("_d.branch").alias("branch"), c("_d.reason").alias("reason")).drop("_d")
     safety = safety_reason(c(paths[0]), c(paths[1]), c("branch"), cfg) if paths else F.lit(None).cast("string")
     return (
-        out.withColumn("hard_contradiction", hard_contradiction(c("_accepted"), cfg))
+        out.withColumn("hard_contradiction", ~c("_accepted") & c("_raw"))
         .withColumn("safety_reason", F.when(c("_accepted"), safety))
         .withColumn("same_document", c("_accepted") & c("safety_reason").isNull())
         .withColumn("reason", F.when(c("safety_reason").isNotNull(), F.concat(F.lit("review only: "), c("safety_reason"))).otherwise(c("reason")))
         .withColumn("confidence", confidence(c("same_document"), c("branch")))
         .withColumn("automatic_link_eligible", c("same_document") & ~c("hard_contradiction"))
-        .drop("_accepted")
+        .drop("_accepted", *RULES)
     )

@@ -7,10 +7,11 @@ import math
 from collections import Counter
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import interpolate, log_loss, ratio
+from .ranks import ranked, running_sums
 
 c = F.col
 
@@ -197,20 +198,15 @@ def probability_metrics(rows: DataFrame, probability: str, truth: str) -> DataFr
 SHARES = (0.0, 0.01, 0.02, 0.05, 0.10, 0.20, 0.25, 0.50, 1.0)
 
 
-def review_budget(rows: DataFrame, order: Sequence[Column], truth: str, shares: Sequence[float] = SHARES) -> DataFrame:
-    """What reviewing the best-ranked shares of the pairs catches.
-
-    Each row is ranked once; buckets of ranks are summed, so no window holds more than its counts.
-    """
+def review_budget(rows: DataFrame, score: str, ties: Sequence[Column], truth: str, shares: Sequence[float] = SHARES) -> DataFrame:
+    """What reviewing the best-ranked shares of the pairs catches."""
     total = rows.agg(F.count("*").alias("total"), F.coalesce(F.sum(truth), F.lit(0)).alias("positives"))
-    ranked = rows.select(c(truth).cast("long").alias("t"), F.row_number().over(Window.orderBy(*order)).alias("rank"))
+    places = ranked(rows, score, ties).select(c(truth).cast("long").alias("t"), "rank")
     wanted = rows.sparkSession.createDataFrame([(float(s),) for s in shares], "review_fraction double")
-    budget = F.broadcast(wanted).crossJoin(total).withColumn("review_pairs", F.least(c("total"), F.ceil(c("total") * c("review_fraction")).cast("long")))
-    caught = (
-        F.broadcast(budget).join(ranked, c("rank") <= c("review_pairs"), "left")
-        .groupBy("review_fraction", "review_pairs", "positives")
-        .agg(F.coalesce(F.sum("t"), F.lit(0)).alias("positive_pairs_caught"))
-    )
+    budget = wanted.crossJoin(total).withColumn("review_pairs", F.least(c("total"), F.ceil(c("total") * c("review_fraction")).cast("long")))
+    # the shares are a handful of rows, so each ranked row is compared with them in place
+    inside = F.broadcast(budget).join(places, c("rank") <= c("review_pairs"), "left")
+    caught = inside.groupBy("review_fraction", "review_pairs", "positives").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("positive_pairs_caught"))
     return caught.select(
         "review_fraction", "review_pairs", "positive_pairs_caught",
         ratio(c("positive_pairs_caught"), c("positives")).alias("recall"), ratio(c("positive_pairs_caught"), c("review_pairs")).alias("precision"),
@@ -220,16 +216,11 @@ def review_budget(rows: DataFrame, order: Sequence[Column], truth: str, shares:
 def best_threshold(rows: DataFrame, score: str, truth: str, max_share: float) -> DataFrame:
     """One row: the threshold of highest recall, then precision, then least review, then highest score, that keeps the review share."""
     by_score = rows.groupBy(c(score).alias("threshold")).agg(F.count("*").alias("n"), F.sum(truth).alias("t"))
-    down = Window.orderBy(c("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy(F.lit(1))
-    curve = by_score.select(
-        "threshold", F.sum("n").over(down).alias("selected"), F.sum("t").over(down).alias("caught"),
-        F.sum("n").over(everything).alias("total"), F.sum("t").over(everything).alias("positives"),
-    )
+    curve = running_sums(by_score, "threshold", ["n", "t"])
     scored = curve.withColumns({
-        "recall": F.when(c("positives") > 0, c("caught") / c("positives")).otherwise(1.0),
-        "precision": c("caught") / c("selected"),
-        "review_fraction": c("selected") / c("total"),
+        "recall": F.when(c("total_t") > 0, c("upto_t") / c("total_t")).otherwise(1.0),
+        "precision": c("upto_t") / c("upto_n"),
+        "review_fraction": c("upto_n") / c("total_n"),
     }).where(c("review_fraction") <= max_share + 1e-12)
     best = F.max_by(F.struct("threshold", "recall", "precision", "review_fraction"), F.struct("recall", "precision", -c("review_fraction"), "threshold"))
     return scored.agg(best.alias("b")).select("b.*")
@@ -256,21 +247,17 @@ def isotonic_knots(points: Iterable[tuple[float, float, float]]) -> list[tuple[f
 def fit_isotonic(rows: DataFrame, score: str, truth: str) -> DataFrame:
     """(knot, score, value). Equal pairs of score and truth are counted in Spark, so one task sees distinct scores only."""
 
-    def fit(found):
+    def fit(batches):
         import pandas as pd
 
+        batches = list(batches)
+        found = pd.concat(batches) if batches else pd.DataFrame(columns=["score", "truth", "n"])
         points = [(s, t * n, n) for s, t, n in found[["score", "truth", "n"]].itertuples(index=False)]
-        # observations of one score come in order of truth, as single points would
-        knots = isotonic_knots_of(points)
-        return pd.DataFrame({"knot": range(len(knots)), "score": [k[0] for k in knots], "value": [k[1] for k in knots]})
+        knots = isotonic_knots(points)
+        yield pd.DataFrame({"knot": range(len(knots)), "score": [k[0] for k in knots], "value": [k[1] for k in knots]})
 
     counted = rows.where(c(score).isNotNull() & c(truth).isNotNull()).groupBy(c(score).cast("double").alias("score"), c(truth).cast("double").alias("truth")).agg(F.count("*").alias("n"))
-    return counted.groupBy(F.lit(1)).applyInPandas(fit, "knot int, score double, value double")
-
-
-def isotonic_knots_of(points: Iterable[tuple[float, float, float]]) -> list[tuple[float, float]]:
-    """The fit to weighted points; equal truths at one score form one point, which pooling would make of them."""
-    return isotonic_knots((s, h, n) for s, h, n in points)
+    return counted.coalesce(1).mapInPandas(fit, "knot int, score double, value double")
 
 
 # --- splits --------------------------------------------------------------------------
@@ -310,17 +297,19 @@ def assign_families(families: Mapping[str, Mapping[str, int]], version: str = "v
 def grouped_splits(groups: DataFrame, family: str, truth: str, version: str = "v1", targets: Mapping[str, float] = TARGETS) -> DataFrame:
     """(family, split): no family lies in two splits. One task sees the counts of families by truth, not their rows."""
 
-    def assign(found):
+    def assign(batches):
         import pandas as pd
 
+        batches = list(batches)
+        found = pd.concat(batches) if batches else pd.DataFrame(columns=["family", "truth", "n"])
         families: dict[str, dict[str, int]] = {}
         for f, t, n in found[["family", "truth", "n"]].itertuples(index=False):
             families.setdefault(f, {})[t] = int(n)
         done = assign_families({f: dict(sorted(t.items())) for f, t in sorted(families.items())}, version, targets)
-        return pd.DataFrame({"family": list(done), "split": list(done.values())})
+        yield pd.DataFrame({"family": list(done), "split": list(done.values())})
 
     counts = groups.groupBy(c(family).cast("string").alias("family"), F.coalesce(c(truth).cast("string"), F.lit("")).alias("truth")).agg(F.count("*").alias("n")).where("family is not null")
-    return counts.groupBy(F.lit(1)).applyInPandas(assign, "family string, split string")
+    return counts.coalesce(1).mapInPandas(assign, "family string, split string")
 
 
 def leaking_families(rows: DataFrame, family: str, split: str = "split") -> DataFrame:

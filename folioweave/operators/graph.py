@@ -145,7 +145,11 @@ def cluster_records(members: DataFrame, pairs: DataFrame) -> DataFrame:
     gathered = members.groupBy("sequence_id", "root").agg(
         F.sort_array(F.collect_list(F.struct("sequence_index", "image_id"))).alias("m")
     )
-    numbered = gathered.withColumn("n", F.row_number().over(Window.orderBy("sequence_id", F.get(c("m"), F.lit(0))["sequence_index"])))
+    # numbers run on over the sequences: one row a sequence is summed, the rest is ranked inside its sequence
+    counts = gathered.groupBy("sequence_id").agg(F.count("*").alias("k"))
+    before = counts.select("sequence_id", F.coalesce(F.sum("k").over(Window.orderBy("sequence_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    turn = F.row_number().over(Window.partitionBy("sequence_id").orderBy(F.get(c("m"), F.lit(0))["sequence_index"]))
+    numbered = gathered.withColumn("turn", turn).join(before, "sequence_id").withColumn("n", c("turn") + c("before"))
     return numbered.join(representatives(members, pairs), ["sequence_id", "root"]).select(
         F.format_string("cluster_%05d", "n").alias("cluster_id"),
         "sequence_id",

@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.numeric import clamp, cosine, ratio, weighted_mean
 from ..functions.text import normal_form, similarity_of
@@ -134,7 +135,7 @@ def compare_records(first: Sequence[Mapping], second: Sequence[Mapping]) -> dict
     }
 
 
-_COMPARED = "identity_similarity double, anchor_score double, matched double, conflict_rate double, aligned_records double, event_type_agreement double, shared_non_name_weight double"
+_COMPARED = ["identity_similarity", "anchor_score", "matched", "conflict_rate", "aligned_records", "event_type_agreement", "shared_non_name_weight"]
 
 
 def _plain(records) -> list[dict]:
@@ -146,9 +147,9 @@ def _plain(records) -> list[dict]:
     return out
 
 
-@F.pandas_udf(_COMPARED)
+@F.pandas_udf(StructType([StructField(n, DoubleType()) for n in _COMPARED]))
 def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([compare_records(_plain(x), _plain(y)) for x, y in zip(a, b)], columns=[p.split()[0] for p in _COMPARED.split(", ")])
+    return pd.DataFrame([compare_records(_plain(x), _plain(y)) for x, y in zip(a, b)], columns=_COMPARED)
 
 
 # --- linking -------------------------------------------------------------------------

@@ -58,22 +58,21 @@ def greedy_matches(targets: Iterable[Sequence[int]], found: Sequence[Sequence[in
 
 
 def match_boxes(expected: DataFrame, actual: DataFrame, keys: Sequence[str], order: str = "n") -> DataFrame:
-    """(*keys, expected_n, actual_n, iou): one-to-one matches among rows of equal keys; both sides have n, x0, y0, x1, y1."""
-    kinds = dict(expected.dtypes)
-    tagged = lambda df, which: df.select(*keys, c(order).cast("long").alias("n"), *(c(k).cast("long").alias(k) for k in ("x0", "y0", "x1", "y1")), F.lit(which).alias("side"))
+    """(*keys, expected_n, actual_n, iou): one-to-one matches among rows of equal keys; both sides have n, x0, y0, x1, y1.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("n", kind="stable")
-        e, a = rows[rows["side"] == "e"], rows[rows["side"] == "a"]
-        box = ["x0", "y0", "x1", "y1"]
-        pairs = greedy_matches(e[box].values.tolist(), a[box].values.tolist())
-        out = pd.DataFrame([(int(e["n"].iloc[i]), int(a["n"].iloc[j]), v) for i, j, v in pairs], columns=["expected_n", "actual_n", "iou"])
-        for k in reversed(keys):
-            out.insert(0, k, rows[k].iloc[0])
-        return out
+    Boxes of one key are gathered in Spark; Python sees batches of keys, not one call a key.
+    """
+    box = [c(order).cast("long").alias("n"), *(c(k).cast("long").alias(k) for k in ("x0", "y0", "x1", "y1"))]
+    gathered = lambda df, name: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*box))).alias(name))
+
+    @F.pandas_udf("array<struct<expected_n: long, actual_n: long, iou: double>>")
+    def matches(es: pd.Series, found: pd.Series) -> pd.Series:
+        corners = lambda rows: [(r["x0"], r["y0"], r["x1"], r["y1"]) for r in rows]
+        return pd.Series([
+            [{"expected_n": e[i]["n"], "actual_n": a[j]["n"], "iou": v} for i, j, v in greedy_matches(corners(e), corners(a))] for e, a in zip(es, found)
+        ])
 
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", expected_n long, actual_n long, iou double"
-    return tagged(expected, "e").unionByName(tagged(actual, "a")).groupBy(*keys).applyInPandas(one, schema)
+    return gathered(expected, "_e").join(gathered(actual, "_a"), keys).select(*keys, F.explode(matches("_e", "_a")).alias("m")).select(*keys, "m.*")
 
 
 def match_metrics(expected: DataFrame, actual: DataFrame, matches: DataFrame) -> DataFrame:
@@ -86,18 +85,25 @@ def match_metrics(expected: DataFrame, actual: DataFrame, matches: DataFrame) ->
     })
 
 
-def keep_distinct(rows: DataFrame, group: str, alike: Callable[[pd.Series, pd.Series], bool], score: str, schema: str) -> DataFrame:
-    """Best-scored rows of each group, leaving out those ``alike`` to one that is kept already."""
+def keep_distinct(rows: DataFrame, group: str, alike: Callable[[dict, dict], bool], score: str) -> DataFrame:
+    """Best-scored rows of each group, leaving out those ``alike`` to one that is kept already; ties by the other columns."""
+    rest = [x for x in rows.columns if x not in (group, score)]
+    entry = F.struct((-c(score)).alias("_s"), *rest)
+    gathered = rows.groupBy(group).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
 
-    def one(found: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        ordered = found.sort_values(score, ascending=False, kind="stable").reset_index(drop=True)
-        for i in range(len(ordered)):
-            if not any(alike(ordered.loc[i], ordered.loc[j]) for j in kept):
-                kept.append(i)
-        return ordered.loc[kept]
+    @F.pandas_udf("array<int>")
+    def kept(lists: pd.Series) -> pd.Series:
+        out = []
+        for found in lists:
+            keep: list[int] = []
+            for i, row in enumerate(found):
+                if not any(alike(row, found[j]) for j in keep):
+                    keep.append(i)
+            out.append(keep)
+        return pd.Series(out)
 
-    return rows.groupBy(group).applyInPandas(one, schema)
+    picked = gathered.select(group, F.explode(F.transform(kept("_rows"), lambda i: F.get(c("_rows"), i))).alias("r"))
+    return picked.select(*(c(group) if x == group else (-c("r._s")).alias(x) if x == score else c(f"r.{x}").alias(x) for x in rows.columns))
 
 
 def merge_candidates(rows: DataFrame, least: float = 0.55) -> DataFrame:
@@ -106,14 +112,14 @@ def merge_candidates(rows: DataFrame, least: float = 0.55) -> DataFrame:
     Overlap is the common area over the smaller box.
     """
 
-    def overlaps(a: pd.Series, b: pd.Series) -> bool:
+    def overlaps(a: dict, b: dict) -> bool:
         if a["side"] != b["side"]:
             return False
-        w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
-        smaller = min((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0))
+        w, h = min(a["x1"], b["x1"]) - max(a["x0"], b["x0"]), min(a["y1"], b["y1"]) - max(a["y0"], b["y0"])
+        smaller = min((r["x1"] - r["x0"]) * (r["y1"] - r["y0"]) for r in (a, b))
         return smaller > 0 and max(0, w) * max(0, h) / smaller >= least
 
-    return keep_distinct(rows, "group_id", overlaps, "confidence", rows.schema.simpleString()[7:-1])
+    return keep_distinct(rows, "group_id", overlaps, "confidence")
 
 
 def weighted_quantile(rows: DataFrame, group: str, value: str, weight: str, q: float) -> DataFrame:

@@ -52,8 +52,8 @@ def model(which: int) -> Column:
 
 
 def occlusion_evidence(cfg: LinkConfig) -> Column:
-    """0 to 1: how well one block explains where the text differs."""
-    support = rules.page_support()
+    """0 to 1, over ``with_rules``: how well one block explains where the text differs."""
+    support = c("_support")
     at = lambda name, low, high: ramp(c(name), low, high)
     evidence = lambda stem: (getattr(cfg, f"occlusion_evidence_min_{stem}"), getattr(cfg, f"occlusion_evidence_full_{stem}"))
     inside = at("inside_unmatched_ink_union_fraction", *evidence("inside_unmatched_ink_union_fraction"))
@@ -78,8 +78,8 @@ def occlusion_evidence(cfg: LinkConfig) -> Column:
         c("outside_ink_mismatch_tiles_fraction") >= cfg.occlusion_evidence_distributed_outside_tiles_fraction
     )
     weak = (c("occlusion_ink_mismatch_capture") < evidence("ink_mismatch_capture")[0]) & (c("occlusion_residual_capture") < least_capture)
-    thin = (c("inside_unmatched_ink_union_fraction") < evidence("inside_unmatched_ink_union_fraction")[0]) & (c("occlusion_material_median") < 0.006) & ~rules.text_erasure(cfg)
-    penalty = F.when(spread | weak | thin | rules.full_page_text(cfg), F.lit(cfg.occlusion_evidence_distributed_penalty)).otherwise(F.lit(1.0))
+    thin = (c("inside_unmatched_ink_union_fraction") < evidence("inside_unmatched_ink_union_fraction")[0]) & (c("occlusion_material_median") < 0.006) & ~c("_erased")
+    penalty = F.when(spread | weak | thin | c("_page_text"), F.lit(cfg.occlusion_evidence_distributed_penalty)).otherwise(F.lit(1.0))
     return F.when(c("occlusion_candidate_count").between(1, 2), clamp(total * penalty)).otherwise(F.lit(0.0))
 
 
@@ -124,7 +124,8 @@ def pair_probabilities(pairs: DataFrame, cfg: LinkConfig | None = None) -> DataF
     """The pairs with the probabilities and occlusion_candidate_flag; the two same-states add up to same_document_probability."""
     cfg = cfg or LinkConfig()
     return (
-        pairs.withColumn("same_document_probability", model(0))
+        rules.with_rules(pairs, cfg)
+        .withColumn("same_document_probability", model(0))
         .withColumn("raw_occluded_given_same_probability", model(1))
         .withColumn("occlusion_evidence", occlusion_evidence(cfg) * identity_support(cfg))
         .withColumn("occluded_given_same_probability", c("raw_occluded_given_same_probability") * c("occlusion_evidence"))
@@ -133,6 +134,7 @@ def pair_probabilities(pairs: DataFrame, cfg: LinkConfig | None = None) -> DataF
         .withColumn("different_document_probability", 1 - c("same_document_probability"))
         .withColumn(
             "occlusion_candidate_flag",
-            (c("same_occluded_probability") >= cfg.occlusion_candidate_probability_threshold) | rules.text_erasure(cfg) | material_block() | low_text_block(),
+            (c("same_occluded_probability") >= cfg.occlusion_candidate_probability_threshold) | c("_erased") | material_block() | low_text_block(),
         )
+        .drop(*rules.RULES)
     )

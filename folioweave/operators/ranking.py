@@ -40,8 +40,10 @@ def rank_candidates(pairs: DataFrame, members: DataFrame, cfg: LinkConfig | None
     edges = pairs.where("same_document").select(c("first_image_id").alias("a"), c("second_image_id").alias("b"))
     root = members.select("image_id", "root")
     ranked = (
-        pairs.where(c("same_document") | c("occlusion_candidate_flag") | F.lit(include_unflagged))
-        .withColumn("raw_hard_contradiction", _measured() & decide.raw_contradiction(cfg))
+        decide.with_rules(pairs, cfg)
+        .where(c("same_document") | c("occlusion_candidate_flag") | F.lit(include_unflagged))
+        .withColumn("raw_hard_contradiction", _measured() & c("_raw"))
+        .drop(*decide.RULES)
         .withColumn("acceptance_conflict", c("same_document") & c("raw_hard_contradiction"))
         .where(~c("same_document") | c("acceptance_conflict") | F.lit(include_accepted))
         .join(root.toDF("first_image_id", "_r1"), "first_image_id", "left")
