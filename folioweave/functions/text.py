@@ -75,7 +75,7 @@ def series_and_index(image_id: Column) -> tuple[Column, Column]:
 def name_position(path: Column) -> tuple[Column, Column]:
     """Prefix and final digits of a file's stem; both null without either."""
     s = stem(path)
-    at = r"^(.+?)(\d+)$"
+    at = r"^(.*?)(\d+)$"
     prefix = F.nullif(F.regexp_extract(s, at, 1), F.lit(""))
     return prefix, F.when(prefix.isNotNull(), F.regexp_extract(s, at, 2).try_cast("long"))
 

@@ -79,7 +79,7 @@ _RULES = f"""{PAIRS_SQL}, r1 AS (
   SELECT *, CASE WHEN same_document THEN greatest(base, 0.50) ELSE least(base, 0.49) END AS confidence FROM confident
 )"""
 
-_PLACE = r"regexp_extract(replace({0}, '.jpg', ''), '^(.+?)(\d+)$', {1})"
+_PLACE = r"regexp_extract(replace({0}, '.jpg', ''), '^(.*?)(\d+)$', {1})"
 
 
 def _safety(branch: str) -> str:

@@ -207,16 +207,17 @@ def _role_or_self(value: Column) -> Column:
 
 def extractions(rows: DataFrame) -> DataFrame:
     """Extractions from (source, value) rows of JSON objects; rows without an image name or a position are an error."""
-    x = rows.select("source", F.from_json("value", _EXTRACTION).alias("o"))
+    x = rows.select("source", "value", F.from_json("value", _EXTRACTION).alias("o"))
     payload = lambda name: F.coalesce(c(f"o.parsed_response.{name}"), c(f"o.{name}"))
     raw = F.coalesce("o.source_filename", "o.parsed_response.source_filename", "o.image_stem", "o.image_id", "o.filename")
     flat = F.transform(payload("records"), lambda r: F.struct(_role_or_self(F.coalesce(r["role"], r["record_role"])).alias("role"), r["event_type"].alias("event_type"), _clean(r["fields"]).alias("fields")))
     nested = F.flatten(F.transform(c("o.events"), _flatten))
     series, index = series_and_index(c("image_id"))
     numbers = F.map_filter(F.transform_values(payload("quality"), lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
-    out = x.select(canonical_id(raw).alias("image_id"), F.coalesce(flat, nested, F.array().cast("array<struct<role:string,event_type:string,fields:map<string,string>>>")).alias("records"), F.coalesce(numbers, F.create_map().cast("map<string,double>")).alias("quality"), "source")
-    out = out.select("image_id", series.alias("sequence_key"), index.alias("sequence_index"), "records", "quality", "source")
-    return _checked(out, c("sequence_index").isNull(), "an extraction has no image name with a position")
+    out = x.select(canonical_id(raw).alias("image_id"), F.coalesce(flat, nested, F.array().cast("array<struct<role:string,event_type:string,fields:map<string,string>>>")).alias("records"), F.coalesce(numbers, F.create_map().cast("map<string,double>")).alias("quality"), "source", (F.trim("value") != "").alias("_object"))
+    out = out.select("image_id", series.alias("sequence_key"), index.alias("sequence_index"), "records", "quality", "source", "_object")
+    # a filter on image_id may be evaluated before the one that drops blank lines, so these must not count as errors
+    return _checked(out, c("_object") & c("sequence_index").isNull(), "an extraction has no image name with a position").drop("_object")
 
 
 def read_evidence(rows: DataFrame) -> DataFrame:
