@@ -134,4 +134,4 @@ class LinkConfig:
         return cls(**dict(values or {}))
 
     def fingerprint(self) -> str:
-        return hashlib.sha256(json.dumps(self._values, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
+        return hashlib.sha256(json.dumps(self._values, separators=(",", ":"), sort_keys=True).encode()).hexdigest()[:16]

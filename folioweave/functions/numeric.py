@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
+def clamp(x: Column, low=0.0, high=1.0) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 

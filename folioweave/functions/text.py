@@ -13,15 +13,15 @@ from pyspark.sql.types import DoubleType, StringType
 
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "tif", "tiff", "j2k", "jp2")
 #: Ids that stand at the end of longer names.
-ID_ENDINGS = (r"(63129_[A-Za-z0-9]+_[A-Za-z0-9]+-\d+)$", r"((?i:i)\d+-\d+)$")
-ROLES = {"primary": "self", "principal": "self", "applicant": "self", "petitioner": "self", "self": "self", "spouse": "spouse", "child": "child"}
+ID_ENDINGS = (r"(63129(?:_[A-Za-z0-9]+){2}-\d+)$", r"((?i:i)\d+-\d+)$")
+ROLES = dict.fromkeys(("self", "petitioner", "applicant", "principal", "primary"), "self") | {x: x for x in ("child", "spouse")}
 
 
 def normal_form(value: object) -> str:
     """Lower case without accents; everything but letters and digits is one blank."""
     if value is None:
         return ""
-    folded = unicodedata.normalize("NFKD", str(value)).casefold()
+    folded = unicodedata.normalize("NFKD", f"{value}").casefold()
     plain = "".join(ch for ch in folded if not unicodedata.combining(ch))
     return " ".join(re.findall(r"[a-z0-9]+", plain))
 
@@ -60,7 +60,7 @@ def stem(path: Column) -> Column:
 
 def canonical_id(name: Column) -> Column:
     """Base name without image suffix and copy number, cut to a known id at its end."""
-    x = F.regexp_replace(base_name(name), r"(?i)\.(jpg|jpeg|png|j2k|jp2|tif|tiff|webp)$", "")
+    x = F.regexp_replace(base_name(name), r"(?i)\.(" + "|".join((*IMAGE_SUFFIXES, "webp")) + ")$", "")
     x = F.regexp_replace(x, r"\(\d+\)$", "")
     found = [F.nullif(F.regexp_extract(x, ending, 1), F.lit("")) for ending in ID_ENDINGS]
     return F.coalesce(*found, x)

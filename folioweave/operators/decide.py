@@ -226,7 +226,7 @@ def confidence(accepted: Column, branch: Column) -> Column:
     disagreement = clamp(c("ink_mismatch_tiles_fraction") / 0.40)
     score = (
         F.when(branch == NEAR, 0.45 * support + 0.55 * ink)
-        .when(branch == OCCLUDED, 0.30 * support + 0.40 * outside + 0.30 * capture)
+        .when(branch == OCCLUDED, 0.40 * outside + 0.30 * (support + capture))
         .otherwise(0.35 * support + 0.15 * (1 - disagreement))
     )
     return F.when(accepted, F.greatest(score, F.lit(0.50))).otherwise(F.least(score, F.lit(0.49)))

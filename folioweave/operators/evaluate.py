@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections import Counter
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -16,7 +15,7 @@ from .ranks import ranked, running_sums
 c = F.col
 
 
-# --- predictions -----------------------------------------------------------------
+# --- predictions
 
 def normalize_predictions(rows: DataFrame) -> DataFrame:
     """Predictions under their canonical names, with automatic_edge and ``problem`` (null where the row is coherent).
@@ -76,7 +75,7 @@ def calibrate(rows: DataFrame, identity: Sequence[tuple[float, float]], conditio
     )
 
 
-# --- statuses ----------------------------------------------------------------------
+# --- statuses
 
 def pair_status(accepted: Column, edge: Column, connected: Column, flagged: Column) -> Column:
     return (
@@ -143,7 +142,7 @@ def failure_category(reason: Column, present: Column, contradiction: Column, tru
     )
 
 
-# --- rates -------------------------------------------------------------------------
+# --- rates
 
 def rates(rows: DataFrame, by: str = "split") -> DataFrame:
     """Recall, precision and false-link rate by split and, with a null split, over all; null where nothing is to divide."""
@@ -195,7 +194,7 @@ def probability_metrics(rows: DataFrame, probability: str, truth: str) -> DataFr
     return rows.agg(F.count("*").alias("count"), F.avg(log_loss(t, p)).alias("log_loss"), F.avg((p - t) * (p - t)).alias("brier_score")).crossJoin(error)
 
 
-SHARES = (0.0, 0.01, 0.02, 0.05, 0.10, 0.20, 0.25, 0.50, 1.0)
+SHARES = tuple(percent / 100 for percent in (0, 1, 2, 5, 10, 20, 25, 50, 100))
 
 
 def review_budget(rows: DataFrame, score: str, ties: Sequence[Column], truth: str, shares: Sequence[float] = SHARES) -> DataFrame:
@@ -226,7 +225,7 @@ def best_threshold(rows: DataFrame, score: str, truth: str, max_share: float) ->
     return scored.agg(best.alias("b")).select("b.*")
 
 
-# --- isotonic regression -------------------------------------------------------------
+# --- isotonic regression
 
 def isotonic_knots(points: Iterable[tuple[float, float, float]]) -> list[tuple[float, float]]:
     """Knots of the pool-adjacent-violators fit to (score, sum of truth, count)."""
@@ -260,18 +259,19 @@ def fit_isotonic(rows: DataFrame, score: str, truth: str) -> DataFrame:
     return counted.coalesce(1).mapInPandas(fit, "knot int, score double, value double")
 
 
-# --- splits --------------------------------------------------------------------------
+# --- splits
 
-TARGETS = {"development": 0.60, "selection": 0.20, "locked_audit": 0.20}
+TARGETS = dict(zip(("development", "selection", "locked_audit"), (0.6, 0.2, 0.2)))
 
 
 def stable_hash(text: str) -> int:
-    return int(hashlib.sha256(text.encode()).hexdigest()[:16], 16)
+    """The first eight bytes of the SHA-256."""
+    return int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big")
 
 
 def assign_families(families: Mapping[str, Mapping[str, int]], version: str = "v1", targets: Mapping[str, float] = TARGETS) -> dict[str, str]:
     """family -> split: largest families first, each where totals and truths then stray least from their targets."""
-    if not math.isclose(sum(targets.values()), 1.0):
+    if abs(sum(targets.values()) - 1) > 1e-9:
         raise ValueError("the target shares must add up to one")
     truths: Counter[str] = Counter()
     for counts in families.values():
@@ -326,7 +326,7 @@ def compare_metrics(before: DataFrame, after: DataFrame) -> DataFrame:
     return before.withColumnRenamed("value", "before").join(after.withColumnRenamed("value", "after"), "metric", "full").withColumn("delta", c("after") - c("before"))
 
 
-# --- replay --------------------------------------------------------------------------
+# --- replay
 
 def replay_edge(threshold: Column, max_gap: Column, min_alignment: Column, score: Column) -> Column:
     """An automatic edge under supplemental gates; a null gate is open, a null gap passes, a null alignment does not."""

@@ -68,7 +68,7 @@ def completeness(records: Column, quality: Column) -> Column:
     return clamp(0.58 * grown(field_mass(records), 12.0) + 0.17 * grown(F.size(records), 3.0) + 0.25 * indexable - penalty)
 
 
-# --- comparing two record lists ------------------------------------------------------
+# --- comparing two record lists
 
 IDENTITY = {"petition_number": 2.2, "surname": 1.8, "given_name": 1.1, "birth_year": 0.8}
 
@@ -128,7 +128,7 @@ def compare_records(first: Sequence[Mapping], second: Sequence[Mapping]) -> dict
         "identity_similarity": max((s for _, _, s in pairs), default=0.0),
         "anchor_score": max(anchors, default=0.0),
         "matched": matched,
-        "conflict_rate": conflicts / comparable if comparable else 0.0,
+        "conflict_rate": conflicts / (comparable or 1.0),
         "aligned_records": float(len(pairs)),
         "event_type_agreement": sum(events) / len(events) if events else 0.5,
         "shared_non_name_weight": shared,
@@ -152,7 +152,7 @@ def compared(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([compare_records(_plain(x), _plain(y)) for x, y in zip(a, b)], columns=_COMPARED)
 
 
-# --- linking -------------------------------------------------------------------------
+# --- linking
 
 
 def link_pairs(extractions: DataFrame, embeddings: DataFrame | None = None, evidence: DataFrame | None = None, **overrides: float) -> DataFrame:
@@ -313,20 +313,15 @@ def image_flags(extractions: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-# --- several runs over one capture -----------------------------------------------------
+# --- several runs over one capture
 
 
 def _alike(a: Mapping, b: Mapping) -> float:
     if a["role"] != b["role"]:
         return 0.0
-    scores = []
-    for key in ("given_name", "surname", "petition_number", "birth_year"):
-        x, y = normal_form(a["fields"].get(key)), normal_form(b["fields"].get(key))
-        if x and y:
-            scores.append(float(x == y))
-    if a["event_type"] and b["event_type"]:
-        scores.append(float(a["event_type"] == b["event_type"]))
-    return sum(scores) / len(scores) if scores else 0.45
+    told = [[normal_form(r["fields"].get(key)) for r in (a, b)] for key in IDENTITY] + [[r["event_type"] for r in (a, b)]]
+    equal = [x == y for x, y in told if x and y]
+    return equal.count(True) / len(equal) if equal else 0.45
 
 
 def consensus(records: Sequence[Mapping]) -> dict:

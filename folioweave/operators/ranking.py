@@ -30,7 +30,7 @@ def tier(conflict: Column, accepted: Column, contradiction: Column, common: Colu
     )
 
 
-def rank_candidates(pairs: DataFrame, members: DataFrame, cfg: LinkConfig | None = None, include_accepted: bool = False, include_unflagged: bool = False) -> DataFrame:
+def rank_candidates(pairs: DataFrame, members: DataFrame, cfg: LinkConfig | None = None, include_unflagged: bool = False, include_accepted: bool = False) -> DataFrame:
     """The pairs to review with review_tier, priority_reason and review_rank (from 1, ties by ids).
 
     ``members`` has image_id and root. Accepted pairs appear if their content

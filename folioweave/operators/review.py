@@ -98,7 +98,7 @@ def final_boxes(proposed: DataFrame, box_events: DataFrame) -> DataFrame:
     )
 
 
-# --- labels ------------------------------------------------------------------------
+# --- labels
 
 RELATIONS = ("exact_duplicate", "near_duplicate", "occlusion_variant", "partial_overlap", "hard_negative", "different_document")
 

@@ -259,7 +259,7 @@ FROM f GROUP BY GROUPING SETS ((split), ())""",
 FROM stated GROUP BY GROUPING SETS ((split), ())""",
     "size_distribution": "SELECT n AS size, count(*) AS groups FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey) GROUP BY n",
     "review_budget_curve": f"""WITH {LABELS_SQL}, o AS (SELECT truth, row_number() OVER (ORDER BY p DESC, doc_id) AS r FROM scored),
-t AS (SELECT count(*) AS n, sum(truth) AS pos FROM o), s AS (SELECT unnest([0.0, 0.01, 0.02, 0.05, 0.10, 0.20, 0.25, 0.50, 1.0])::DOUBLE AS f),
+t AS (SELECT count(*) AS n, sum(truth) AS pos FROM o), s AS (SELECT unnest([0, 1, 2, 5, 10, 20, 25, 50, 100]) / 100.0::DOUBLE AS f),
 b AS (SELECT f, least(n, ceil(n * f))::BIGINT AS k, pos FROM s, t), g AS (SELECT f, k, pos, coalesce(sum(truth), 0)::BIGINT AS got FROM b LEFT JOIN o ON r <= k GROUP BY ALL)
 SELECT f AS review_fraction, k AS review_pairs, got AS positive_pairs_caught, round(got / nullif(pos, 0), 6) AS recall, round(got / nullif(k, 0), 6) AS precision FROM g""",
     "isotonic_apply": f"""WITH {LABELS_SQL}, k AS (SELECT doc_id, CASE WHEN p <= 0.1 THEN 0.05 WHEN p >= 0.9 THEN 0.95 WHEN p <= 0.3 THEN 0.05 + (p - 0.1) / 0.2 * 0.25

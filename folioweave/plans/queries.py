@@ -23,7 +23,7 @@ def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-# --- sequences and pairs ---------------------------------------------------------------
+# --- sequences and pairs
 
 
 def seq_index(spark: SparkSession, d: str) -> DataFrame:
@@ -56,7 +56,7 @@ def image_inventory(spark: SparkSession, d: str) -> DataFrame:
     return images(spark, d).groupBy("sequence_id").agg(F.count("*").alias("images"), F.min("image_id").alias("first_id"), F.max("image_id").alias("last_id"))
 
 
-# --- decisions and probabilities ----------------------------------------------------------
+# --- decisions and probabilities
 
 
 def decision_ladder(spark: SparkSession, d: str) -> DataFrame:
@@ -93,7 +93,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
     return pairs.sequence_index(images(spark, d), "sequence_id", ["image_id"]).select("sequence_id", "image_id", "sequence_index")
 
 
-# --- graph and ranking --------------------------------------------------------------------
+# --- graph and ranking
 
 
 def _linked(spark: SparkSession, d: str) -> DataFrame:
@@ -154,7 +154,7 @@ def run_counts(spark: SparkSession, d: str) -> DataFrame:
     return writers.run_counts(images(spark, d), clusters, rows)
 
 
-# --- evaluation -------------------------------------------------------------------------
+# --- evaluation
 
 
 def _labelled_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -280,7 +280,7 @@ def failure_categories(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# --- linkage ----------------------------------------------------------------------------
+# --- linkage
 
 
 def consensus_field(spark: SparkSession, d: str) -> DataFrame:
@@ -366,7 +366,7 @@ def string_similarity(spark: SparkSession, d: str) -> DataFrame:
     return near.select(c("a.p_partkey").alias("a"), c("b.p_partkey").alias("b"), F.round(text.similarity("a.p_name", "b.p_name"), 6).alias("ratio"))
 
 
-# --- positions, statistics, boxes ---------------------------------------------------------
+# --- positions, statistics, boxes
 
 
 def gaps_and_islands(spark: SparkSession, d: str) -> DataFrame:
@@ -421,7 +421,7 @@ def page_completeness(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(pages.completeness(c("l_discount") * 10 - 0.2).alias("completeness")).agg(F.count("*").alias("n"))
 
 
-# --- reviews, labels, inventories -----------------------------------------------------------
+# --- reviews, labels, inventories
 
 
 def _review(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -20,7 +20,7 @@ def _checked(df: DataFrame, bad: Column, message: str) -> DataFrame:
     return df.withColumn(first, F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(message)).cast(df.schema[first].dataType)).otherwise(c(f"`{first}`")))
 
 
-# --- captures ------------------------------------------------------------------------
+# --- captures
 
 
 def scan_images(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,7 +111,7 @@ def resolve_library(rows: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select(plain(c("source_path")).alias("name")).distinct().join(by_name, "name", "left").select("name", "path", "sha256", state.alias("status"))
 
 
-# --- results and extractions ---------------------------------------------------------
+# --- results and extractions
 
 
 def read_result(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -192,7 +192,7 @@ def _flatten(event: Column) -> Column:
     def both(text: Column) -> Column:
         role = _role_or_self(F.coalesce(F.get_json_object(text, "$.record_role"), F.get_json_object(text, "$.role")))
         spouse = record(text, person("$.spouse.person"), F.lit("spouse"))
-        told = F.exists(F.map_keys(spouse["fields"]), lambda k: k.isin("given_name", "surname", "birth_year", "birth_city"))
+        told = F.exists(F.map_keys(spouse["fields"]), lambda k: k.isin("birth_city", "birth_year", "surname", "given_name"))
         first = F.array(record(text, own, role))
         return F.when((role == "self") & told, F.concat(first, F.array(spouse))).otherwise(first)
 
@@ -286,7 +286,7 @@ def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("image_id", canonical_id(c("image_id")))
 
 
-# --- reviewed truth and labels -------------------------------------------------------
+# --- reviewed truth and labels
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -13,7 +13,7 @@ from folioweave.llm import language_id, language_model, licences, line_dedup, mi
 DIR = "/root/testdata/sf0.001"
 
 
-# --- line dedup ---------------------------------------------------------------------
+# --- line dedup
 
 def brute_chunks(text):
     import hashlib
@@ -62,7 +62,7 @@ def test_line_dedup_odd_rows(odd, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-# --- mixing -------------------------------------------------------------------------
+# --- mixing
 
 def test_mixing_sizes_and_copies(odd, empty, spark):
     docs = spark.createDataFrame([(i, "w" * (1 + i % 50), f"src{i % 5}") for i in range(600)], "doc_id long, text string, source string")
@@ -81,7 +81,7 @@ def test_mixing_sizes_and_copies(odd, empty, spark):
     assert mixing.mix(empty).count() == 0 and mixing.sampled(empty).count() == 0
 
 
-# --- packing ------------------------------------------------------------------------
+# --- packing
 
 def test_packing_is_a_partition_within_capacity(odd, empty):
     got = packing.pack(odd, capacity=64).collect()
@@ -117,7 +117,7 @@ def test_filling_is_the_fullest():
         assert all(n <= dict(counts)[k] for k, n in filling.items()) and counts[0][0] in filling
 
 
-# --- token counts ---------------------------------------------------------------------
+# --- token counts
 
 def test_token_counts_equal_full_merging(odd, empty):
     ranks = token_counts.load_ranks(token_counts.VOCABULARY)
@@ -137,7 +137,7 @@ def test_every_proven_token_is_whole():
     assert len(whole) > 40_000 and all(len(encoding.encode_ordinary(t)) == 1 for t in sample)
 
 
-# --- licences -----------------------------------------------------------------------
+# --- licences
 
 @pytest.mark.parametrize(
     ("text", "verdict"),
@@ -171,7 +171,7 @@ def test_licence_matches_equal_brute_force(odd, empty):
     assert licences.scan_licences(odd).count() == odd.count() and licences.scan_licences(empty).count() == 0
 
 
-# --- language ID ----------------------------------------------------------------------
+# --- language ID
 
 def test_gradient_is_the_numerical_one():
     rng = np.random.default_rng(1)
@@ -232,7 +232,7 @@ def test_language_id_odd_rows(odd, empty):
     assert {(r["language"], r["probability"]) for r in one.collect()} == {("en", 1.0)}
 
 
-# --- class-based scores -------------------------------------------------------------------
+# --- class-based scores
 
 def brute_model(texts, size):
     words = [language_model.words(t) for t in texts]

@@ -105,7 +105,7 @@ def test_image_scan_and_embeddings(spark, tmp_path):
 
 
 def test_label_file_with_overrides(spark, tmp_path):
-    case = lambda i, rel: json.dumps({"case_id": i, "images": ["a", "b"], "relation": rel, "expected_cluster": True})
+    case = lambda i, rel: json.dumps({"case_id": i, "relation": rel, "expected_cluster": True, "images": ["b", "a"]})
     (tmp_path / "c.jsonl").write_text("# head\n\n" + "\n".join([case("1", "near_duplicate"), case("2", "near_duplicate"), case("3", "near_duplicate")]))
     (tmp_path / "o.jsonl").write_text("\n".join([case("2", "exact_duplicate"), json.dumps({"delete_case_id": "3"}), case("4", "near_duplicate"), json.dumps({"delete_case_id": "4"})]))
     got = readers.read_cases(spark, str(tmp_path / "c.jsonl"), str(tmp_path / "o.jsonl")).collect()

@@ -6,21 +6,23 @@ from pyspark.sql import functions as F
 from folioweave.config import LinkConfig
 from folioweave.operators import decide, probability
 
-CLEAN = {
-    "registration_model": "affine", "registration_fallback_used": False, "registration_alignment_score": 0.9, "feature_overlap": 0.5, "inlier_ratio": 0.8,
-    "x_span": 0.9, "y_span": 0.9, "valid_fraction": 0.95, "changed_fraction": 0.05, "unmatched_ink_fraction": 0.001, "unmatched_ink_union_fraction": 0.01,
-    "ink_mismatch_tiles_fraction": 0.02, "largest_ink_component_fraction": 0.0, "residual_tiles_changed_fraction": 0.02, "occlusion_candidate_count": 0,
-    "occlusion_area_fraction": 0.0, "occlusion_residual_capture": 0.0, "occlusion_rectangularity": 0.0, "occlusion_material_fraction": 0.0,
-    "occlusion_material_median": 0.0, "outside_unmatched_ink_fraction": 0.0, "outside_unmatched_ink_union_fraction": 0.0,
-    "outside_ink_mismatch_tiles_fraction": 0.0, "inside_unmatched_ink_union_fraction": 0.0, "occlusion_ink_mismatch_capture": 0.0,
-    "occlusion_localization_contrast": 0.0, "full_page_occlusion_count": 0, "page_count": 1,
-}
-COVERED = CLEAN | {
-    "changed_fraction": 0.55, "unmatched_ink_union_fraction": 0.30, "ink_mismatch_tiles_fraction": 0.30, "occlusion_candidate_count": 1,
-    "occlusion_area_fraction": 0.45, "occlusion_residual_capture": 0.9, "occlusion_rectangularity": 0.8, "occlusion_material_fraction": 0.8,
-    "occlusion_material_median": 0.05, "outside_unmatched_ink_union_fraction": 0.01, "outside_ink_mismatch_tiles_fraction": 0.05,
-    "inside_unmatched_ink_union_fraction": 0.6, "occlusion_ink_mismatch_capture": 0.9, "occlusion_localization_contrast": 0.5,
-}
+NOTHING = dict.fromkeys(
+    ["largest_ink_component_fraction", "outside_ink_mismatch_tiles_fraction", "outside_unmatched_ink_union_fraction", "outside_unmatched_ink_fraction",
+     "occlusion_localization_contrast", "occlusion_ink_mismatch_capture", "inside_unmatched_ink_union_fraction", "occlusion_material_median",
+     "occlusion_material_fraction", "occlusion_rectangularity", "occlusion_residual_capture", "occlusion_area_fraction"],
+    0.0,
+)
+CLEAN = NOTHING | dict(
+    page_count=1, full_page_occlusion_count=0, occlusion_candidate_count=0, registration_model="affine", registration_fallback_used=False,
+    registration_alignment_score=0.9, feature_overlap=0.5, inlier_ratio=0.8, x_span=0.9, y_span=0.9, valid_fraction=0.95, changed_fraction=0.05,
+    ink_mismatch_tiles_fraction=0.02, residual_tiles_changed_fraction=0.02, unmatched_ink_union_fraction=0.01, unmatched_ink_fraction=0.001,
+)
+COVERED = CLEAN | dict(
+    inside_unmatched_ink_union_fraction=0.6, outside_unmatched_ink_union_fraction=0.01, outside_ink_mismatch_tiles_fraction=0.05,
+    occlusion_localization_contrast=0.5, occlusion_ink_mismatch_capture=0.9, occlusion_candidate_count=1, occlusion_material_median=0.05,
+    occlusion_material_fraction=0.8, occlusion_rectangularity=0.8, occlusion_residual_capture=0.9, occlusion_area_fraction=0.45,
+    unmatched_ink_union_fraction=0.30, ink_mismatch_tiles_fraction=0.30, changed_fraction=0.55,
+)
 
 CASES = [
     (CLEAN, {}, True, "near_duplicate"),
