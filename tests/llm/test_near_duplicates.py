@@ -170,3 +170,60 @@ def test_pipeline_keeps_columns_and_every_decision(spark, odd, empty, tmp_path):
 
 def test_every_operator_has_a_query():
     assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
+    """Every stage again, over its predecessor's rows, by slow means."""
+    from collections import Counter
+
+    import duckdb
+    from test_text_operators import brute_dedup
+
+    from folioweave.llm import language_id, mixing
+
+    monkeypatch.setattr(language_id, "STEPS", 25)
+    shared = "\n".join(f"a line that many documents share {i}" for i in range(9))
+    texts = [t for _, t in near_copies(24, 3, 5)]
+    rows = [(i, f"{t}\n{shared}\n{t[:30]}" if i % 4 == 0 else t, "ab"[i % 2], f"src{i % 5}", len(t)) for i, t in enumerate(texts)] + [(500, None, "a", "src0", 0), (501, "", "b", "src1", 0)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    got, docs = {}, spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        got[name] = [r.asDict() for r in docs.collect()]
+        if name == "language_id":
+            names, windows, labels = language_id.training_windows(before)
+            p = language_id.train(windows, labels, len(names), 25)
+            want = set()
+            for r in rows:
+                sums, votes = language_id.label(p, len(names), [r[1]])
+                if votes.sum() and sums.max() >= language_id.MIN_PROBABILITY * votes.sum():
+                    want.add(r[0])
+            assert {r["doc_id"] for r in got[name]} == want and len(want) > 10
+    first, second, third, fourth, last = got.values()
+    assert {r["doc_id"]: r["text"] for r in second} == brute_dedup([(r["doc_id"], r["text"]) for r in first])
+    bits, have = simhash_dedup.fingerprint_bits([r["text"] for r in second])
+    ids, root = [r["doc_id"] for r in second], {r["doc_id"]: r["doc_id"] for r in second}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if have[i] and have[j] and (bits[i] != bits[j]).sum() <= simhash_dedup.MAX_DISTANCE:
+                a, b = sorted((find(ids[i]), find(ids[j])))
+                root[b] = a
+    gone, true = set(ids) - {r["doc_id"] for r in third}, {x for x in ids if find(x) != x}
+    assert gone <= true and len(gone) >= 0.9 * len(true) > 5
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/simhash_dedup/*.parquet'")
+    copies = {d: n for d, _, n in con.sql(mixing.SQL).fetchall() if n}
+    assert Counter(r["doc_id"] for r in fourth) == copies
+    lengths = Counter(len(r["text"].split()) + 1 for r in fourth if r["text"].split())
+    windows = Counter()
+    for r in last:
+        windows[r["window_id"]] += r["length"]
+    filled = [sum(k * n for k, n in filling.items()) for filling, times in packing.plan(lengths) for _ in range(times)]
+    assert sorted(windows.values()) == sorted(filled)
