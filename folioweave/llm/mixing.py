@@ -12,7 +12,7 @@ source's remaining places, so the sample's size is fixed.
 Plan: no text is shuffled and no source is sorted as a whole. Ranks are counted
 in equal buckets by source; only the bucket in which a source's last place falls
 is ranked row by row. What comes of it, one row per source, is joined to the
-documents; Spark broadcasts it if its measured size allows.
+documents; it is materialised first and broadcast if its row count allows.
 
 Defined results: documents without text (null or empty) have size 0 and are
 never taken; a null source is the source ''; rows that repeat a doc_id share
@@ -27,13 +27,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import cut, fresh
 
 #: Production weights: the largest source is held at three shares, two curated ones at two.
 TARGETS = {"src0": 3, "src1": 2, "src2": 2}
 DEFAULT_WEIGHT = 1
 SEED = "mix-1"
 BUCKETS = 4096
+#: Tables of one row a source are broadcast up to so many rows (a few MB), else joined by shuffle.
+BROADCAST_SOURCES = 50_000
 
 
 def _measured(docs: DataFrame, targets: dict[str, int], default_weight: int, seed: str) -> DataFrame:
@@ -55,6 +57,15 @@ def _uniform(key: Column, seed: str) -> Column:
     return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(2**52))
 
 
+def _small(by_source: DataFrame) -> DataFrame:
+    """One row a source, materialised so that its size is known, and broadcast if that allows.
+
+    Without that the documents would be shuffled by source, the largest source into one task.
+    """
+    by_source = cut(by_source)
+    return F.broadcast(by_source) if by_source.count() <= BROADCAST_SOURCES else by_source
+
+
 def _ranked(measured: DataFrame, places: DataFrame) -> DataFrame:
     """With whole copies, and the rank q of those that may be drawn (null where p is 0)."""
     expected = F.col("places") * F.col("size") / F.col("sizes").cast("double")
@@ -84,6 +95,7 @@ def source_cuts(docs: DataFrame, targets: dict[str, int], default_weight: int, s
         .withColumn("turn", F.row_number().over(all_sources.orderBy(F.expr("share % weights").desc(), "src")))
         .select("src", "sizes", (F.col("base") + (F.col("turn") <= F.col("left")).cast("long")).alias("places"))
     )
+    places = _small(places)
     ranked = _ranked(measured, places)
     bucket = F.floor(F.col("q") / (1 + F.col("q")) * buckets).cast("int")
     counts = (
@@ -106,7 +118,7 @@ def source_cuts(docs: DataFrame, targets: dict[str, int], default_weight: int, s
     edge = (
         ranked.where("q is not null")
         .withColumn("bucket", bucket)
-        .join(last, ["src", "bucket"])
+        .join(_small(last), ["src", "bucket"])
         .withColumn("turn", F.row_number().over(by_src.orderBy("q", "key")))
         .where("turn = rest")
         .select("src", F.col("q").alias("cut_q"), F.col("key").alias("cut_key"))
@@ -123,7 +135,7 @@ def mix(
 ) -> DataFrame:
     """The documents' columns and ``copies``, for every document, 0 included."""
     targets = TARGETS if targets is None else targets
-    cuts = source_cuts(docs, targets, default_weight, seed, buckets)
+    cuts = _small(source_cuts(docs, targets, default_weight, seed, buckets))
     names = fresh(docs, "src", "key", "size", "draw", "places", "sizes", "cut_q", "cut_key", "copies")
     src, key, size, draw, places, sizes, cut_q, cut_key, copies = names
     chars = F.coalesce(F.length("text"), F.lit(0))
