@@ -16,7 +16,7 @@ document's perplexity is exp of the mean negative log probability of its words
 and its end.
 
 Plan: three Arrow passes over the text. The first counts words, which are summed
-by one shuffle; the second counts bigrams of word numbers, whose number of
+by one shuffle and written once, as they are asked twice; the second counts bigrams of word numbers, whose number of
 distinct rows the vocabulary bounds; the third scores, with a table of
 ``VOCABULARY`` words that never grows. The driver holds the vocabulary and its
 bigrams only.
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_runs
+from .common import cut, text_runs
 
 VOCABULARY = 4096
 CLASSES = 48
@@ -211,7 +211,7 @@ class Model:
 
 
 def fit(docs: DataFrame, size: int = VOCABULARY, k: int = CLASSES, passes: int = PASSES) -> Model:
-    top, types, _ = vocabulary(word_counts(docs), size)
+    top, types, _ = vocabulary(cut(word_counts(docs)), size)
     bigrams = bigram_counts(docs, top)
     return Model(top, types, bigrams, exchange(bigrams, len(top), k, passes))
 
