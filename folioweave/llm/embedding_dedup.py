@@ -13,7 +13,8 @@ Candidates are pairs that agree in all ``BAND`` bits of one of the bands into
 which the code is cut: sign bits of a random rotation agree with probability
 1 - angle/pi, so that a pair of cosine 0.95 meets in one of the 21 bands with
 probability 0.999, one at the threshold 0.9 with 0.97. Equal vectors are
-collapsed before the search and tied to the lowest vec_id.
+searched once and then stand for all their rows: these are partners of each other
+and of every partner found, so every row is a query.
 
 Plan: one Arrow pass makes codes; one shuffle of (band, id, code, planes) feeds a
 self-join whose estimate runs in generated code; only the pairs that need it
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, expanded
 
 BITS = 256
 BAND = 12
@@ -170,23 +171,17 @@ def candidates(codes: DataFrame, min_cosine: float = MIN_COSINE, bits: int = BIT
 
 
 def near_duplicates(table: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(vec_id, other_vec_id, cosine), vec_id < other_vec_id; all equal vectors pair with the lowest vec_id."""
-    units = cut(unit_vectors(table))
-    same = units.groupBy("key").agg(F.min("id").alias("id"), F.first("dims").alias("dims"), F.first("unit").alias("unit"))
-    twins = (
-        units.select("id", "key")
-        .join(same.select("key", F.col("id").alias("low")), "key")
-        .where("id != low")
-        .select(F.col("low").alias("vec_id"), F.col("id").alias("other_vec_id"), F.lit(1.0).alias("cosine"))
-    )
-    distinct = cut(same.select("id", "dims", "unit"))
+    """(vec_id, other_vec_id, cosine), vec_id < other_vec_id: every pair, of equal vectors too."""
+    same = unit_vectors(table).groupBy("key").agg(F.collect_set("id").alias("members"), F.first("dims").alias("dims"), F.first("unit").alias("unit"))
+    distinct = cut(same.drop("key").withColumn("id", F.monotonically_increasing_id()))
     bits = code_length(distinct.agg(F.max("dims")).first()[0] or 1)
     cosine = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    near = (
+    found = (
         candidates(coded(distinct, bits), min_cosine, bits)
         .join(distinct.select(F.col("id").alias("a"), F.col("unit").alias("x")), "a")
         .join(distinct.select(F.col("id").alias("b"), F.col("unit").alias("y")), "b")
-        .select(F.col("a").alias("vec_id"), F.col("b").alias("other_vec_id"), F.least(F.lit(1.0), cosine).alias("cosine"))
+        .select("a", "b", F.least(F.lit(1.0), cosine).alias("cosine"))
         .where(F.col("cosine") >= min_cosine)
     )
-    return twins.union(near).groupBy("vec_id", "other_vec_id").agg(F.max("cosine").alias("cosine"))
+    pairs = expanded(found, distinct.select("id", "members"), "vec_id", "cosine")
+    return pairs.groupBy("vec_id", "other_vec_id").agg(F.max("cosine").alias("cosine"))

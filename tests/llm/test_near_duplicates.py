@@ -227,3 +227,30 @@ def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
         windows[r["window_id"]] += r["length"]
     filled = [sum(k * n for k, n in filling.items()) for filling, times in packing.plan(lengths) for _ in range(times)]
     assert sorted(windows.values()) == sorted(filled)
+
+
+def test_fingerprints_list_every_pair_of_copies_and_near_copies(spark):
+    rows = near_copies(20, 3, 9)
+    rows = [(7 * i % 1009, t) for i, (_, t) in enumerate(rows + [r for r in rows[:30] for _ in range(3)])]
+    sets = {i: lz_fingerprint.phrases(t) for i, t in rows}
+    ids = sorted(sets)
+    true = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(ids) for b in ids[i + 1 :]}
+    out = lz_fingerprint.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["other_doc_id"]) for r in out}
+    equal, near = {p for p, s in true.items() if s == 1}, {p for p, s in true.items() if 0.7 <= s < 1}
+    assert len(got) == len(out) and all(a < b for a, b in got)
+    assert equal <= got and len(equal) > 100
+    assert len(near & got) >= 0.9 * len(near) > 50
+
+
+def test_embeddings_list_every_pair_of_copies_and_near_copies(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(20, 48))
+    near = base + rng.normal(size=(20, 48)) * 0.05
+    x = np.concatenate([base, near, base, near, base])
+    rows = [(37 * i % 101, [float(v) for v in row]) for i, row in enumerate(x)]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    true = {tuple(sorted((rows[i][0], rows[j][0]))) for i in range(100) for j in range(i) if unit[i] @ unit[j] >= 0.9}
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    got = {(r["vec_id"], r["other_vec_id"]) for r in out}
+    assert len(got) == len(out) and got <= true and len(got) >= 0.9 * len(true) and len(true) >= 200
