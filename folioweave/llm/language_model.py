@@ -1,25 +1,32 @@
 """Language-model scores from Brown classes.
 
-Words (lower case, punctuation apart) of the whole corpus are counted; the
-``VOCABULARY`` most frequent are the model's words, every other word is the
-unknown word. Exchange clustering gives each word one of ``CLASSES`` classes: a
-word moves to the class in which the class bigrams of the corpus are likeliest,
-until a pass moves nothing or ``PASSES`` are done. Text borders and the unknown
-word have classes of their own. A word's probability is
+Words (lower case, punctuation apart) of the whole corpus are counted. Exchange
+clustering gives each of the ``VOCABULARY`` most frequent, the head, one of
+``CLASSES`` classes: a word moves to the class in which the class bigrams of the
+corpus are likeliest, until a pass moves nothing or ``PASSES`` are done. Text
+borders have a class of their own, and so has, at this step, every other word.
+Each of those then gets the class under which all its neighbours' classes in the
+corpus are likeliest (``tail_classes``), so that the model has every word of the
+corpus with its own count. A word's probability is
 
     P(class | class before) * P(word | class),
 
-the transition being interpolated with the class frequencies by the
-Witten-Bell rule, the emission being relative frequency; the unknown word's
-share is divided evenly among its distinct words and one word never seen. A
-document's perplexity is exp of the mean negative log probability of its words
-and its end.
+both from the whole corpus under the final classes, the transition being
+interpolated with the class frequencies by the Witten-Bell rule, the emission
+being relative frequency. A document's perplexity is exp of the mean negative
+log probability of its words and its end.
+
+``fit`` and ``apply`` are the model of the head alone, in which the other words
+are one unknown word, whose share is divided evenly among them and one word
+never seen.
 
 Plan: three Arrow passes over the text. The first counts words, which are summed
-by one shuffle and written once, as they are asked twice; the second counts bigrams of word numbers, whose number of
-distinct rows the vocabulary bounds; the third scores, with a table of
-``VOCABULARY`` words that never grows. The driver holds the vocabulary and its
-bigrams only.
+by one shuffle and written once, as they are asked twice; the second counts
+bigrams of the head's word numbers, whose number of distinct rows the head
+bounds; the third writes blocks of texts: their classes, a byte a word, and their
+distinct other words. These are shuffled by word, each with its contexts in the
+block, and their classes and counts come back by block. The driver holds the head, its bigrams and the class
+bigrams only; all other words stay a table.
 
 Defined results: a text without a word (null, empty, only punctuation) has 0
 words and a null score; rows come out as often as they went in and repeated rows
@@ -36,6 +43,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +56,8 @@ PASSES = 4
 BORDER, UNKNOWN, FIRST = 0, 1, 2
 #: A task's counts are handed on when they have so many entries.
 HELD = 400_000
+#: Texts are looked up in blocks of about so many words.
+BLOCK = 1_200_000
 
 _WORD = re.compile(r"\w+")
 
@@ -188,21 +198,27 @@ def exchange(bigrams: np.ndarray, n_words: int, k: int = CLASSES, passes: int =
     return classes
 
 
+def transitions(table: np.ndarray) -> np.ndarray:
+    """Log probabilities of the class after a class, by the Witten-Bell rule."""
+    rows, columns = table.sum(1, keepdims=True), table.sum(0)
+    kinds = (table > 0).sum(1, keepdims=True)
+    back = (columns + 1) / (columns.sum() + len(table))
+    return np.log(np.where(rows > 0, (table + kinds * back) / np.maximum(rows + kinds, 1), back))
+
+
 class Model:
     """Log probabilities of class transitions and of words in their classes."""
 
     def __init__(self, top: list[str], types: int, bigrams: np.ndarray, classes: np.ndarray):
         k = int(classes.max()) + 1
         table = class_table(bigrams, classes, k)
-        rows, columns = table.sum(1, keepdims=True), table.sum(0)
-        kinds = (table > 0).sum(1, keepdims=True)
-        back = (columns + 1) / (columns.sum() + k)
-        self.move = np.log(np.where(rows > 0, (table + kinds * back) / np.maximum(rows + kinds, 1), back))
+        columns = table.sum(0)
+        self.move = transitions(table)
         times = np.bincount(bigrams[:, 1], bigrams[:, 2], len(classes))
         self.emit = np.log(np.maximum(times, 1) / np.maximum(columns[classes], 1))
         self.emit[UNKNOWN] = -np.log(max(types - len(top), 0) + 1)
         self.emit[BORDER] = 0.0
-        self.top, self.classes = top, classes
+        self.top, self.classes, self.times, self.columns = top, classes, times, columns
 
     def score(self, found: list[str], index: dict[str, int]) -> float:
         x = numbered(found, index)
@@ -216,9 +232,190 @@ def fit(docs: DataFrame, size: int = VOCABULARY, k: int = CLASSES, passes: int =
     return Model(top, types, bigrams, exchange(bigrams, len(top), k, passes))
 
 
+def tail_classes(left: np.ndarray, right: np.ndarray, move: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The class of each word, given how often it stood after (left) and before (right) each class.
+
+    It is the class that makes the word's transitions and its own emission likeliest.
+    """
+    times = left.sum(1, keepdims=True)
+    gain = left @ move + right @ move.T - times * np.log(columns + times)
+    usable = columns > 0
+    usable[:FIRST] = False
+    if not usable.any():
+        usable[UNKNOWN] = True
+    return np.where(usable, np.round(gain, 6), -np.inf).argmax(1)
+
+
+def _blocks(docs: DataFrame, model: Model) -> DataFrame:
+    """Blocks of texts: their ids, numbers of words, the head words' log counts, all classes between borders; the distinct
+    other words by blanks, and which of them stand at the unknown places."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        index = {w: i + FIRST for i, w in enumerate(model.top)}
+        symbol = np.min_scalar_type(len(model.columns) - 1)
+        logs = np.log(np.maximum(model.times, 1))
+        logs[:FIRST] = 0
+        ids, sizes, known, seqs, places, own, held = [], [], [], [], [], {}, 0
+        for batch in text_runs(batches):
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                found = words(text)
+                x = numbered(found, index)
+                ids.append(batch.column(0)[i].as_py())
+                sizes.append(len(found))
+                known.append(float(logs[x].sum()))
+                seqs.append(model.classes[x].astype(symbol))
+                places.append(np.array([own.setdefault(found[j], len(own)) for j in (np.flatnonzero(x == UNKNOWN) - 1).tolist()], np.int32))
+                held += len(x)
+                if held >= BLOCK:
+                    yield block(batch.column(0).type, ids, sizes, known, seqs, places, own)
+                    ids, sizes, known, seqs, places, own, held = [], [], [], [], [], {}, 0
+        if ids:
+            yield block(batch.column(0).type, ids, sizes, known, seqs, places, own)
+
+    def block(kind: pa.DataType, ids: list, sizes: list, known: list, seqs: list, places: list, own: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([ids], pa.list_(kind)), pa.array([sizes], pa.list_(pa.int64())), pa.array([known], pa.list_(pa.float64())), pa.array([np.concatenate(seqs).tobytes()], pa.binary()),
+             pa.array([np.concatenate(places).tobytes()], pa.binary()), pa.array([" ".join(map(_clean, own))], pa.string())],
+            ["ids", "sizes", "log_n", "seq", "places", "tail"],
+        )
+
+    kind = dict(docs.dtypes)["doc_id"]
+    found = docs.select("doc_id", "text").mapInArrow(run, f"ids array<{kind}>, sizes array<long>, log_n array<double>, seq binary, places binary, tail string")
+    return cut(found.withColumn("block", F.monotonically_increasing_id()))
+
+
+def _asked(blocks: DataFrame, k: int) -> DataFrame:
+    """(word, block, at, spots): every word outside the head once a block, where it is listed, and all class pairs it stands between."""
+    symbol, spot = np.min_scalar_type(k - 1), np.min_scalar_type(k * k - 1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, seq, places, tail in zip(*(c.to_pylist() for c in batch.columns)):
+                x, which = np.frombuffer(seq, symbol).astype(np.int64), np.frombuffer(places, np.int32)
+                at = np.flatnonzero(x == UNKNOWN)
+                n = len(tail := tail.split())
+                spots = (x[at - 1] * k + x[at + 1]).astype(spot)[np.argsort(which, kind="stable")]
+                ends = np.concatenate([[0], np.cumsum(np.bincount(which, minlength=n))]).astype(np.int32) * np.int32(spot.itemsize)
+                spots = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(spots.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(tail, pa.string()), pa.array(np.full(n, number, np.int64)), pa.array(np.arange(n, dtype=np.int32)), spots], ["word", "block", "at", "spots"])
+
+    return blocks.where("tail != ''").select("block", "seq", "places", "tail").mapInArrow(run, "word string, block long, at int, spots binary")
+
+
+def whole_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches sorted by their first column, cut anew so that the rows of a word stay together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        word = batch.column(0)
+        start = pc.index(word, word[-1]).as_py()
+        if start == 0 and held and held[0].column(0)[0] == word[-1]:
+            held.append(batch)
+            continue
+        if held or start:
+            yield pa.Table.from_batches([*held, batch.slice(0, start)])
+        held = [batch.slice(start)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _answered(asked: DataFrame, model: Model) -> DataFrame:
+    """(block, at, class, n): the class and the count in the corpus of each word asked for."""
+    shared = asked.sparkSession.sparkContext.broadcast((model.move, model.columns))
+    k = len(model.columns)
+    spot = np.min_scalar_type(k * k - 1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_words(batches):
+            word = table["word"].combine_chunks()
+            group = np.concatenate([[0], np.cumsum(pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            n = group[-1] + 1
+            lengths = pc.binary_length(table["spots"]).to_numpy() // spot.itemsize
+            spots = np.frombuffer(b"".join(table["spots"].to_pylist()), spot).astype(np.int64)
+            row = np.repeat(group, lengths)
+            left = np.bincount(row * k + spots // k, minlength=n * k).reshape(n, k).astype(float)
+            right = np.bincount(row * k + spots % k, minlength=n * k).reshape(n, k).astype(float)
+            classes, times = tail_classes(left, right, *shared.value), left.sum(1).astype(np.int64)
+            out = pa.table([table["block"], table["at"], pa.array(classes[group].astype(np.int32)), pa.array(times[group])], ["block", "at", "class", "n"])
+            yield from out.combine_chunks().to_batches()
+
+    return asked.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, at int, class int, n long")
+
+
+def all_classed(docs: DataFrame, model: Model) -> DataFrame:
+    """(ids, sizes, log_n, seq) of blocks of all rows: the sums of all log counts, the classes of all words between borders."""
+    k = len(model.columns)
+    symbol = np.min_scalar_type(k - 1)
+    blocks = _blocks(docs, model)
+
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        x, which = np.frombuffer(own["seq"][0].as_py(), symbol).copy(), np.frombuffer(own["places"][0].as_py(), np.int32)
+        n = len(own["tail"][0].as_py().split())
+        at = found["at"].to_numpy()
+        assert len(at) == n == len(np.unique(at)), "a word was not found again"
+        classes, logs = np.zeros(n, symbol), np.zeros(n)
+        classes[at], logs[at] = found["class"].to_numpy(), np.log(found["n"].to_numpy())
+        unknown = np.flatnonzero(x == UNKNOWN)
+        x[unknown] = classes[which]
+        text = np.searchsorted(np.cumsum(np.array(own["sizes"][0].as_py()) + 2), unknown, side="right")
+        log_n = np.array(own["log_n"][0].as_py()) + np.bincount(text, logs[which], len(own["log_n"][0]))
+        return pa.table([own["ids"], own["sizes"], pa.array([log_n], pa.list_(pa.float64())), pa.array([x.tobytes()], pa.binary())], ["ids", "sizes", "log_n", "seq"])
+
+    answered = _answered(_asked(blocks, k), model)
+    kind = dict(docs.dtypes)["doc_id"]
+    return cut(blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, f"ids array<{kind}>, sizes array<long>, log_n array<double>, seq binary"))
+
+
+def whole_table(classed: DataFrame, k: int) -> np.ndarray:
+    """(k, k) counts of class bigrams of all texts with a word."""
+    symbol = np.min_scalar_type(k - 1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for seq in batch.column(0).to_pylist():
+                x = np.frombuffer(seq, symbol).astype(np.int64)
+                total += np.bincount(x[:-1] * k + x[1:], minlength=k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+    got = classed.select("seq").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(k * k, np.int64)
+    table[got["pair"].to_numpy()] = got["n"].to_numpy()
+    table[0] = 0  # two borders meet between texts and in texts without a word only
+    return table.reshape(k, k)
+
+
 def score_documents(docs: DataFrame, size: int = VOCABULARY, k: int = CLASSES, passes: int = PASSES) -> DataFrame:
-    """(doc_id, n_words, log_prob, perplexity) of every row under the model of all rows."""
-    return apply(docs, fit(docs, size, k, passes))
+    """(doc_id, n_words, log_prob, perplexity) of every row under the model of all words of all rows."""
+    head = fit(docs, size, k, passes)
+    classed = all_classed(docs, head)
+    n_classes = len(head.columns)
+    symbol = np.min_scalar_type(n_classes - 1)
+    table = whole_table(classed, n_classes)
+    share = -np.log(np.maximum(table.sum(0), 1))
+    share[BORDER] = 0.0
+    cost = transitions(table) + share
+    cost[BORDER, BORDER] = 0.0
+    shared = docs.sparkSession.sparkContext.broadcast(cost)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost = shared.value
+        for batch in batches:
+            for i, seq in enumerate(batch.column(3).to_pylist()):
+                x, sizes = np.frombuffer(seq, symbol), batch.column(1)[i].values.to_numpy()
+                starts = np.concatenate([[0], np.cumsum(sizes + 2)[:-1]])
+                score = np.add.reduceat(np.append(cost[x[:-1], x[1:]], 0.0), starts) + batch.column(2)[i].values.to_numpy()
+                none = sizes == 0
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[i].values, pa.array(sizes), pa.array(score, mask=none), pa.array(np.exp(-score / (sizes + 1)), mask=none)],
+                    ["doc_id", "n_words", "log_prob", "perplexity"],
+                )
+
+    return classed.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, log_prob double, perplexity double")
 
 
 def apply(docs: DataFrame, model: Model) -> DataFrame:

@@ -315,3 +315,41 @@ def test_class_scores_odd_rows(odd, empty):
     assert len(got) == odd.count()
     assert all((r["perplexity"] is None) == (r["n_words"] == 0) for r in got)
     assert language_model.score_documents(empty).count() == 0
+
+
+def test_every_word_of_the_corpus_is_scored_by_its_own_count(spark):
+    rng = np.random.default_rng(5)
+    names = [f"w{i}" for i in range(400)]
+    texts = [" ".join(names[int(j) % 400] for j in rng.zipf(1.3, 40)) for _ in range(60)] + ["...", None, "w0 w0"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    head = language_model.fit(docs, 20, 6, 3)
+    counts, top, index, grams = brute_model(texts, 20)
+    cls, k = head.classes, int(max(head.classes)) + 1
+    table = np.zeros((k, k))
+    for (a, b), n in grams.items():
+        table[cls[a], cls[b]] += n
+    move, column = language_model.transitions(table), table.sum(0)
+    of = {w: int(cls[i]) for w, i in index.items()}
+    contexts = {}
+    for t in texts:
+        ws = language_model.words(t)
+        c = [0, *[of.get(w, 1) for w in ws], 0]
+        for i, w in enumerate(ws):
+            if w not in index:
+                contexts.setdefault(w, []).append((c[i], c[i + 2]))
+    for w, around in contexts.items():
+        gain = [sum(move[a, d] + move[d, b] for a, b in around) - len(around) * math.log(column[d] + len(around)) if column[d] else -math.inf for d in range(2, k)]
+        of[w] = 2 + int(np.argmax(np.round(gain, 6)))
+    full = np.zeros((k, k))
+    for t in texts:
+        if ws := language_model.words(t):
+            c = [0, *[of[w] for w in ws], 0]
+            np.add.at(full, (c[:-1], c[1:]), 1)
+    move, column = language_model.transitions(full), full.sum(0)
+    got = {r["doc_id"]: r["log_prob"] for r in language_model.score_documents(docs, 20, 6, 3).collect()}
+    assert len(contexts) > 50 and max(counts[w] for w in contexts) > min(counts[w] for w in contexts)
+    for i, t in enumerate(texts):
+        ws = language_model.words(t)
+        c = [0, *[of[w] for w in ws], 0]
+        want = sum(move[a, b] for a, b in zip(c, c[1:])) + sum(math.log(counts[w] / column[of[w]]) for w in ws)
+        assert (got[i] is None) if not ws else abs(got[i] - want) < 1e-6 * abs(want)
