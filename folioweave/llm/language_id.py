@@ -11,8 +11,9 @@ The languages are those of the column ``lang``. Training takes at most
 ``TRAIN_DOCS`` documents a language, those of the lowest hash, and from each at
 most ``TRAIN_WINDOWS`` windows; what the driver holds is bounded by that.
 
-Plan: the training sample is found by a scan of the narrow columns; one Arrow
-pass over (doc_id, text) applies the network; nothing is shuffled but the sample.
+Plan: the training sample is found by scans, one to count usable rows and one (two
+where rows repeat) to rank hashes; one Arrow pass over (doc_id, text) applies the
+network; nothing is shuffled but the sample.
 
 Defined results: a null or empty text, and every text where no row has a
 language, gets a null language and no positions; ties go to the language that is
@@ -23,6 +24,7 @@ extra columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -202,30 +204,42 @@ def _utf8(text: str | None) -> bytes:
 
 
 def training_windows(docs: DataFrame, train_docs: int = TRAIN_DOCS, per_doc: int = TRAIN_WINDOWS, window: int = WINDOW) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, (n, window) symbols and (n,) labels from the documents of lowest hash in each language."""
+    """Languages, (n, window) symbols and (n,) labels from the documents of lowest hash in each language.
+
+    Rows are first thinned by the hash; of a language of which too few are left, as where it repeats rows, all are ranked.
+    """
     labelled = docs.where("lang is not null and length(text) > 0")
-    place = F.xxhash64(F.lit("language-id"), "doc_id").bitwiseAND(F.lit(2**31 - 1))
-    counts = {r["lang"]: r["n"] for r in docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    place = F.xxhash64(F.lit("language-id"), "doc_id", "text").bitwiseAND(F.lit(2**31 - 1))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return [], np.zeros((0, window), np.int16), np.zeros(0, np.int64)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * (train_docs + 50) / n))).otherwise(share)
-    near = labelled.where(place < share * F.lit(2.0**31)).select("lang", "text", place.alias("place"))
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))).where(F.col("rank") <= train_docs)
-
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_runs(batches):
-            langs, parts = [], []
+            langs, parts, firsts = [], [], []
             for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
                 found = windows_of(_utf8(text), window)
                 picks = np.unique(np.linspace(0, len(found) - 1, per_doc).astype(int))
                 langs += [lang] * len(picks)
                 parts += [found[i].tobytes() for i in picks]
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary())], ["lang", "symbols"])
-
-    got = ranked.select("lang", "text").mapInArrow(cut, "lang string, symbols binary").toArrow()
-    langs, symbols = got["lang"].to_pylist(), got["symbols"].to_pylist()
+                firsts += [k == 0 for k in range(len(picks))]
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary()), pa.array(firsts, pa.bool_())], ["lang", "symbols", "first"])
+
+    def sample(shares: dict[str, float]) -> tuple[list[str], list[bytes], Counter[str]]:
+        share = F.lit(0.0)
+        for lang, x in shares.items():
+            share = F.when(F.col("lang") == lang, F.lit(x)).otherwise(share)
+        near = labelled.where(place < share * F.lit(2.0**31)).select("lang", "text", place.alias("place"))
+        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))).where(F.col("rank") <= train_docs)
+        got = ranked.select("lang", "text").mapInArrow(cut, "lang string, symbols binary, first boolean").toArrow()
+        langs = got["lang"].to_pylist()
+        return langs, got["symbols"].to_pylist(), Counter(x for x, first in zip(langs, got["first"].to_pylist()) if first)
+
+    langs, symbols, taken = sample({lang: min(1.0, 2.0 * (train_docs + 50) / n) for lang, n in counts.items()})
+    few = {lang: 1.0 for lang, n in counts.items() if taken[lang] < min(train_docs, n)}
+    if few:
+        kept = [(x, y) for x, y in zip(langs, symbols) if x not in few]
+        more = sample(few)
+        langs, symbols = [x for x, _ in kept] + more[0], [y for _, y in kept] + more[1]
     order = sorted(range(len(langs)), key=lambda i: (langs[i], symbols[i]))
     names = sorted(set(langs))
     index = {x: i for i, x in enumerate(names)}

@@ -353,3 +353,11 @@ def test_every_word_of_the_corpus_is_scored_by_its_own_count(spark):
         c = [0, *[of[w] for w in ws], 0]
         want = sum(move[a, b] for a, b in zip(c, c[1:])) + sum(math.log(counts[w] / column[of[w]]) for w in ws)
         assert (got[i] is None) if not ws else abs(got[i] - want) < 1e-6 * abs(want)
+
+
+def test_language_sample_is_whole_without_ids_and_with_repeated_rows(spark):
+    texts = [(None, f"{w} text number {i}", w) for w in ("aa", "bb") for i in range(700)]
+    texts += [(i % 2, "the same words again", "cc") for i in range(700)] + [(None, "", "bb")] * 3000
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    names, _, labels = language_id.training_windows(docs, 20, 1)
+    assert names == ["aa", "bb", "cc"] and np.bincount(labels).tolist() == [20, 20, 20]
