@@ -49,28 +49,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def expanded(found: DataFrame, groups: DataFrame, name: str, value: str) -> DataFrame:
-    """(``name``, other_``name``, ``value``), ``name`` < other_``name``, of all members of all groups.
-
-    ``found`` is pairs of groups (a, b, ``value``), any of them repeatedly; ``groups`` is (id, members), members of
-    one group being pairs of value 1. Only numbers and lists of members are shuffled; pairs are made at the end.
-    """
-    pair = F.array_sort(F.array("x", "y"))
-    near = (
-        found.repartition("a").distinct()
-        .join(groups.select(F.col("id").alias("a"), F.col("members").alias("left")), "a")
-        .join(groups.select(F.col("id").alias("b"), F.col("members").alias("right")), "b")
-        .select(F.explode("left").alias("x"), "right", value)
-        .select("x", F.explode("right").alias("y"), value)
-        .where("x != y")
-    )
-    twins = (
-        groups.where(F.size("members") > 1)
-        .select(F.explode("members").alias("x"), "members")
-        .select("x", F.explode("members").alias("y"), F.lit(1.0).alias(value))
-        .where("x < y")
-    )
-    return twins.union(near).select(pair[0].alias(name), pair[1].alias(f"other_{name}"), value)
+#: Tables are broadcast up to so many rows (a few MB), else joined by shuffle.
+BROADCAST_ROWS = 50_000
+
+
+def broadcast_small(table: DataFrame) -> DataFrame:
+    """A materialised table of narrow rows, to be broadcast if it has few of them."""
+    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
 
 
 #: Rows of an Arrow batch are processed in runs of about so many characters, so that memory stays bounded on very long texts.

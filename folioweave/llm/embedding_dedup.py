@@ -1,48 +1,57 @@
 """Embedding near-dedup by randomised-rotation binary codes.
 
-A unit vector, padded with zeros to ``BITS`` dimensions, is rotated at random
-and reduced to the signs of its coordinates. With the code goes a correction
-factor, the inner product <code, vector>; <code, other> / <code, vector> is then
-an unbiased estimate of <vector, other>, whose error a bound holds with high
-probability. The other vector enters as ``PLANES`` bit planes of its randomly
-rounded rotated coordinates, so that an estimate is a few popcounts. A pair
-whose upper bound lies below the threshold is decided by its codes; every other
-pair is recomputed from the vectors.
-
-Candidates are pairs that agree in all ``BAND`` bits of one of the bands into
-which the code is cut: sign bits of a random rotation agree with probability
-1 - angle/pi, so that a pair of cosine 0.95 meets in one of the 21 bands with
-probability 0.999, one at the threshold 0.9 with 0.97. Equal vectors are
-searched once and then stand for all their rows: these are partners of each other
-and of every partner found, so every row is a query.
-
-Plan: one Arrow pass makes codes; one shuffle of (band, id, code, planes) feeds a
-self-join whose estimate runs in generated code; only the pairs that need it
-meet their vectors, by two joins on ids.
+A unit vector, padded with zeros to a multiple of ``BITS`` dimensions, is rotated
+at random and reduced to the signs of its coordinates. With the code goes a
+correction factor, the inner product <code, vector>; <code, other> / <code,
+vector> is then an unbiased estimate of <vector, other>, whose error a bound holds
+with high probability. The other vector enters as ``PLANES`` bit planes of its
+rotated coordinates, rounded with a dither that is the same for all vectors, so
+that an estimate is a few popcounts. A pair whose upper bound lies below the
+threshold is decided by its codes; every other pair is recomputed from the
+vectors.
+
+Vectors meet where their codes agree in all bits of a band. Sign bits of a random
+rotation agree with probability 1 - angle/pi; there are so many bands that a pair
+at the threshold meets with probability ``RECALL``. The width of a band follows
+the binary logarithm of the number of vectors, so that a band holds as many
+unlike vectors at any size. Equal vectors are one item.
+
+The result is a row for every vector: its class (the lowest vec_id that it is
+linked to directly or over others), how many other vectors the class has that
+differ, and the cosine to the class's first vector. How classes are found without
+all pairs of a class: see ``links``.
+
+Plan: one Arrow pass makes codes; ``links`` shuffles (band, id, code, planes),
+whose estimate runs in generated code; only the pairs that need it meet their
+vectors, by two joins on ids.
 
 Defined results: a null, empty or zero vector, or one with a null or non-finite
-entry, has no partner; vectors of different lengths are never partners; rows of
-equal vec_id must agree or are searched each with its own vector, a pair of one
-id with itself being left out; a null vec_id has no partner; extra columns are
-ignored; an empty table gives an empty table.
+entry, has a null class; vectors of different lengths are never linked; rows come
+out as often as they went in, and rows of one vec_id may have classes of their
+own if their vectors differ; a null vec_id has a null class; ties have the lowest
+vec_id; extra columns are ignored; an empty table gives an empty table. vec_id is
+an integer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import cache
+from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, expanded
+from .common import cut
+from .links import classes, linked
 
 BITS = 256
-BAND = 12
 PLANES = 4
 MIN_COSINE = 0.9
+#: How likely a pair at the threshold is to meet, were the bits of its bands independent; as bands share bits it is a little less.
+RECALL = 0.985
 #: Width of the bound in standard deviations of the estimate.
 EPSILON = 3.0
 
@@ -68,17 +77,30 @@ def _planes(bits: int) -> list[str]:
     return [f"p{j}_{i}" for j in range(PLANES) for i in range(bits // 64)]
 
 
-def encode(x: np.ndarray, bits: int = BITS, seed: int = 0) -> dict[str, np.ndarray]:
+@cache
+def dither(bits: int) -> np.ndarray:
+    return np.random.default_rng(bits + 1).random(bits)
+
+
+def bands_of(vectors: int, bits: int = BITS, min_cosine: float = MIN_COSINE) -> np.ndarray:
+    """(bands, width) numbers of bits, dealt so that all are used as often."""
+    width = max(12, ceil(log2(max(vectors, 1))) - 3)
+    meet = (1 - acos(min_cosine) / pi) ** width
+    n = ceil(log(1 - RECALL) / log(1 - meet)) if meet < 1 else 1
+    each, rng = bits // width, np.random.default_rng(19)
+    deals = [rng.permutation(bits)[: each * width].reshape(each, width) for _ in range(-(-n // each))]
+    return np.concatenate(deals)[:n]
+
+
+def encode(x: np.ndarray, bits: int = BITS) -> dict[str, np.ndarray]:
     """Codes, correction factors and bit planes of (n, dims) unit vectors."""
     turned = x @ rotation(x.shape[1], bits)
-    n = len(x)
     signs = turned > 0
     factor = np.abs(turned).sum(1) / np.sqrt(bits)
     top = (1 << PLANES) - 1
     low = turned.min(1, keepdims=True)
     step = np.maximum((turned.max(1, keepdims=True) - low) / top, 1e-12)
-    noise = np.random.default_rng(seed).random(turned.shape)
-    level = np.minimum(np.floor((turned - low) / step + noise), top).astype(np.uint8)
+    level = np.minimum(np.floor((turned - low) / step + dither(bits)), top).astype(np.uint8)
     out = {"factor": factor, "low": low[:, 0], "step": step[:, 0], "total": level.sum(1, dtype=np.int64)}
 
     def words(found: np.ndarray) -> np.ndarray:
@@ -89,9 +111,6 @@ def encode(x: np.ndarray, bits: int = BITS, seed: int = 0) -> dict[str, np.ndarr
     for j in range(PLANES):
         for i, w in enumerate(words(level >> j & 1).T):
             out[f"p{j}_{i}"] = w
-    bands = bits // BAND
-    weights = 1 << np.arange(BAND)
-    out["bands"] = signs[:, : bands * BAND].reshape(n, bands, BAND) @ weights + np.arange(bands) * (1 << BAND)
     return out
 
 
@@ -120,25 +139,23 @@ def margin(code: str, bits: int = BITS) -> Column:
 
 
 def unit_vectors(table: DataFrame) -> DataFrame:
-    """(id, key, dims, unit): the vectors that can have partners, scaled to length one; equal directions share a key."""
+    """(vec_id, key, dims, unit) of every row: the vector scaled to length one, null where it can have no partner; equal directions share a key."""
     v = F.col("embedding").cast("array<double>")
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return (
-        table.where("vec_id is not null and embedding is not null and size(embedding) > 0")
-        .select(F.col("vec_id").cast("long").alias("id"), v.alias("v"), F.coalesce(bad, F.lit(False)).alias("bad"))
-        .where("not bad")
-        .select("id", F.col("v").alias("embedding"))
-        .select("id", F.size("embedding").alias("dims"), "embedding", length.alias("length"))
-        .where(F.col("length") > 0)
-        .select("id", "dims", F.transform("embedding", lambda x: x / F.col("length")).alias("unit"))
-        .withColumn("key", F.sha2(F.array_join(F.transform("unit", lambda x: x.cast("float").cast("string")), ","), 256))
-    )
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.coalesce(bad, F.lit(True)) & (length > 0)
+    unit = F.when(usable, F.transform(v, lambda x: x / length))
+    key = F.sha2(F.array_join(F.transform("unit", lambda x: x.cast("float").cast("string")), ","), 256)
+    return table.select(F.col("vec_id").cast("long").alias("vec_id"), unit.alias("unit")).select("vec_id", key.alias("key"), F.size("unit").alias("dims"), "unit")
+
+
+def _longs(bits: int) -> list[str]:
+    return [*_code(bits), *_planes(bits), "total"]
 
 
 def coded(distinct: DataFrame, bits: int = BITS) -> DataFrame:
     """Codes of (id, dims, unit)."""
-    longs = [*_code(bits), *_planes(bits), "total"]
+    longs = _longs(bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,42 +163,61 @@ def coded(distinct: DataFrame, bits: int = BITS) -> DataFrame:
             for d in np.unique(dims):
                 part = batch.filter(pa.array(dims == d))
                 x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-                found = encode(x, bits, seed=int(abs(part.column(0)[0].as_py())) % 2**32)
-                bands = found["bands"]
-                offsets = pa.array(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32))
+                found = encode(x, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), *(pa.array(found[k]) for k in longs), *(pa.array(found[k]) for k in ("factor", "low", "step")), pa.ListArray.from_arrays(offsets, pa.array(bands.ravel()))],
-                    ["id", "dims", *longs, "factor", "low", "step", "bands"],
+                    [part.column(0), part.column(1), *(pa.array(found[k]) for k in longs), *(pa.array(found[k]) for k in ("factor", "low", "step"))],
+                    ["id", "dims", *longs, "factor", "low", "step"],
                 )
 
     kinds = ", ".join(f"{k} long" for k in longs)
-    return distinct.select("id", "dims", "unit").mapInArrow(run, f"id long, dims int, {kinds}, factor double, low double, step double, bands array<long>")
+    return distinct.select("id", "dims", "unit").mapInArrow(run, f"id long, dims int, {kinds}, factor double, low double, step double")
 
 
-def candidates(codes: DataFrame, min_cosine: float = MIN_COSINE, bits: int = BITS) -> DataFrame:
-    """(a, b), a < b: the pairs of one band whose upper bound reaches the threshold."""
-    placed = codes.withColumn("band", F.explode("bands")).drop("bands")
-    hopeful = estimate("l", "r", bits) + margin("l", bits) >= min_cosine
-    return (
-        placed.alias("l")
-        .join(placed.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.dims") == F.col("r.dims")) & (F.col("l.id") < F.col("r.id")) & hopeful)
-        .select(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-        .distinct()
-    )
+def _banded(codes: DataFrame, bands: np.ndarray, bits: int) -> DataFrame:
+    """``codes`` with the array of their bands' numbers."""
+    names = _code(bits)
+    weights = np.int64(1) << np.arange(min(bands.shape[1], 62), dtype=np.int64)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names], axis=1)
+            signs = np.unpackbits(np.ascontiguousarray(words.astype(">i8")).view(np.uint8).reshape(len(words), -1), axis=1)
+            found = signs[:, bands].astype(np.int64) @ weights
+            found = (found.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.arange(len(bands), dtype=np.uint64)).view(np.int64)
+            offsets = pa.array(np.arange(0, found.size + 1, len(bands), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], [*batch.schema.names, "cells"])
+
+    return codes.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in codes.dtypes) + ", cells array<long>")
 
 
 def near_duplicates(table: DataFrame, min_cosine: float = MIN_COSINE) -> DataFrame:
-    """(vec_id, other_vec_id, cosine), vec_id < other_vec_id: every pair, of equal vectors too."""
-    same = unit_vectors(table).groupBy("key").agg(F.collect_set("id").alias("members"), F.first("dims").alias("dims"), F.first("unit").alias("unit"))
-    distinct = cut(same.drop("key").withColumn("id", F.monotonically_increasing_id()))
-    bits = code_length(distinct.agg(F.max("dims")).first()[0] or 1)
+    """(vec_id, class_id, n_links, cosine) of every row."""
+    rows = cut(unit_vectors(table))
+    same = rows.where("unit is not null").groupBy("key").agg(F.min("vec_id").alias("first_id"), F.first("dims").alias("dims"), F.first("unit").alias("unit"))
+    distinct = cut(same.withColumn("id", F.monotonically_increasing_id()))
+    found = distinct.agg(F.max("dims").alias("dims"), F.count("*").alias("n")).first()
+    bits, bands = code_length(found["dims"] or 1), bands_of(found["n"], min_cosine=min_cosine)
     cosine = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    found = (
-        candidates(coded(distinct, bits), min_cosine, bits)
-        .join(distinct.select(F.col("id").alias("a"), F.col("unit").alias("x")), "a")
-        .join(distinct.select(F.col("id").alias("b"), F.col("unit").alias("y")), "b")
-        .select("a", "b", F.least(F.lit(1.0), cosine).alias("cosine"))
-        .where(F.col("cosine") >= min_cosine)
-    )
-    pairs = expanded(found, distinct.select("id", "members"), "vec_id", "cosine")
-    return pairs.groupBy("vec_id", "other_vec_id").agg(F.max("cosine").alias("cosine"))
+
+    def near(left: str, right: str) -> Column:
+        alike = F.col(f"{left}.dims") == F.col(f"{right}.dims")
+        return alike & (estimate(left, right, bits) + margin(left, bits) >= min_cosine)
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        return (
+            pairs.distinct()
+            .join(distinct.select(F.col("id").alias("a"), F.col("unit").alias("x")), "a")
+            .join(distinct.select(F.col("id").alias("b"), F.col("unit").alias("y")), "b")
+            .where(cosine >= min_cosine)
+            .select("a", "b")
+        )
+
+    payload = ["dims", *_longs(bits), "factor", "low", "step"]
+    wide = np.arange(BITS).reshape(8, -1)
+    roots = linked(coded(distinct, bits), payload, near, lambda x: _banded(x, wide, bits), lambda x: _banded(x, bands, bits), exact)
+    known = cut(classes(distinct.select("id", "first_id", "key", "unit"), roots))
+    lead = known.groupBy("class_id").agg(F.min(F.struct("first_id", "key", "unit")).alias("lead"))
+    of = known.join(lead, "class_id").select(
+        F.col("key").alias("of_key"), F.col("lead.first_id").alias("class_id"), "n_links", F.col("unit").alias("x"), F.col("lead.unit").alias("y"), (F.col("key") == F.col("lead.key")).alias("own")
+    ).select("of_key", "class_id", "n_links", F.when(F.col("own"), F.lit(1.0)).otherwise(F.least(F.lit(1.0), cosine)).alias("cosine"))
+    return rows.join(of, F.col("key") == F.col("of_key"), "left").select("vec_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "cosine")

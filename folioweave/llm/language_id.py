@@ -8,15 +8,18 @@ are read, so every position is labelled; a document's probabilities are the
 means over its positions.
 
 The languages are those of the column ``lang``. Training takes at most
-``TRAIN_DOCS`` documents a language, those of the lowest hash, and from each at
-most ``TRAIN_WINDOWS`` windows; what the driver holds is bounded by that.
+``TRAIN_DOCS`` documents a language, those of the lowest hash, each with its whole
+text; a batch draws documents, and from each a window. The driver holds the bytes
+of these documents. ``fit`` returns a model that ``save`` and ``load`` keep, so
+that it need not be trained again.
 
 Plan: the training sample is found by scans, one to count usable rows and one (two
 where rows repeat) to rank hashes; one Arrow pass over (doc_id, text) applies the
 network; nothing is shuffled but the sample.
 
 Defined results: a null or empty text, and every text where no row has a
-language, gets a null language and no positions; ties go to the language that is
+language, gets a null language and no positions; very long texts are read whole,
+in windows; ties go to the language that is
 first in alphabetical order; where only one language exists, every text has it;
 rows come out as often as they went in, repeated rows and null ids included;
 extra columns are ignored; an empty table gives an empty table.
@@ -37,7 +40,6 @@ from .common import fresh, text_runs
 HIDDEN = 6
 WINDOW = 128
 TRAIN_DOCS = 250
-TRAIN_WINDOWS = 8
 STEPS = 400
 BATCH = 256
 RATE = 0.02
@@ -171,15 +173,15 @@ def loss_and_gradient(p: Parameters, windows: np.ndarray, labels: np.ndarray) ->
     return loss, g
 
 
-def train(windows: np.ndarray, labels: np.ndarray, languages: int, steps: int = STEPS, hidden: int = HIDDEN) -> Parameters:
-    """Adam over random batches in which every language weighs the same; the rate falls to zero."""
+def train(texts: list[bytes], labels: np.ndarray, languages: int, steps: int = STEPS, hidden: int = HIDDEN, window: int = WINDOW) -> Parameters:
+    """Adam over random batches in which every language, and every text of it, weighs the same; the rate falls to zero."""
     rng = np.random.default_rng(3)
     p = new_parameters(languages, hidden)
     first, second = ({k: np.zeros(x.shape) for k, x in p.items()} for _ in range(2))
     of = [np.flatnonzero(labels == k) for k in range(languages)]
     for step in range(1, steps + 1):
         picks = np.concatenate([rng.choice(rows, max(1, BATCH // languages)) for rows in of])
-        _, g = loss_and_gradient(p, windows[picks], labels[picks])
+        _, g = loss_and_gradient(p, np.stack([_any_window(texts[i], window, rng) for i in picks]), labels[picks])
         size = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
         for k, x in g.items():
             x = x * min(1.0, 1.0 / max(size, 1e-12))
@@ -199,12 +201,18 @@ def windows_of(raw: bytes, window: int = WINDOW) -> np.ndarray:
     return out.reshape(n, window)
 
 
+def _any_window(raw: bytes, window: int, rng: np.random.Generator) -> np.ndarray:
+    """The symbols of one of the windows of the text, each as likely."""
+    start = int(rng.integers(-(-len(raw) // window))) * window
+    return windows_of(raw[start : start + window], window)[0]
+
+
 def _utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def training_windows(docs: DataFrame, train_docs: int = TRAIN_DOCS, per_doc: int = TRAIN_WINDOWS, window: int = WINDOW) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, (n, window) symbols and (n,) labels from the documents of lowest hash in each language.
+def training_texts(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[list[str], list[bytes], np.ndarray]:
+    """Languages, the UTF-8 texts and the labels of the documents of lowest hash in each language.
 
     Rows are first thinned by the hash; of a language of which too few are left, as where it repeats rows, all are ranked.
     """
@@ -212,40 +220,45 @@ def training_windows(docs: DataFrame, train_docs: int = TRAIN_DOCS, per_doc: int
     place = F.xxhash64(F.lit("language-id"), "doc_id", "text").bitwiseAND(F.lit(2**31 - 1))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return [], np.zeros((0, window), np.int16), np.zeros(0, np.int64)
-    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_runs(batches):
-            langs, parts, firsts = [], [], []
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                found = windows_of(_utf8(text), window)
-                picks = np.unique(np.linspace(0, len(found) - 1, per_doc).astype(int))
-                langs += [lang] * len(picks)
-                parts += [found[i].tobytes() for i in picks]
-                firsts += [k == 0 for k in range(len(picks))]
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(parts, pa.binary()), pa.array(firsts, pa.bool_())], ["lang", "symbols", "first"])
-
-    def sample(shares: dict[str, float]) -> tuple[list[str], list[bytes], Counter[str]]:
+        return [], [], np.zeros(0, np.int64)
+
+    def sample(shares: dict[str, float]) -> list[tuple[str, bytes]]:
         share = F.lit(0.0)
         for lang, x in shares.items():
             share = F.when(F.col("lang") == lang, F.lit(x)).otherwise(share)
         near = labelled.where(place < share * F.lit(2.0**31)).select("lang", "text", place.alias("place"))
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))).where(F.col("rank") <= train_docs)
-        got = ranked.select("lang", "text").mapInArrow(cut, "lang string, symbols binary, first boolean").toArrow()
-        langs = got["lang"].to_pylist()
-        return langs, got["symbols"].to_pylist(), Counter(x for x, first in zip(langs, got["first"].to_pylist()) if first)
+        got = ranked.select("lang", F.encode("text", "UTF-8").alias("raw")).toArrow()
+        return list(zip(got["lang"].to_pylist(), got["raw"].to_pylist()))
 
-    langs, symbols, taken = sample({lang: min(1.0, 2.0 * (train_docs + 50) / n) for lang, n in counts.items()})
+    rows = sample({lang: min(1.0, 2.0 * (train_docs + 50) / n) for lang, n in counts.items()})
+    taken = Counter(lang for lang, _ in rows)
     few = {lang: 1.0 for lang, n in counts.items() if taken[lang] < min(train_docs, n)}
     if few:
-        kept = [(x, y) for x, y in zip(langs, symbols) if x not in few]
-        more = sample(few)
-        langs, symbols = [x for x, _ in kept] + more[0], [y for _, y in kept] + more[1]
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], symbols[i]))
-    names = sorted(set(langs))
+        rows = [row for row in rows if row[0] not in few] + sample(few)
+    rows.sort()
+    names = sorted({lang for lang, _ in rows})
     index = {x: i for i, x in enumerate(names)}
-    if not names:
-        return [], np.zeros((0, window), np.int16), np.zeros(0, np.int64)
-    return names, np.stack([np.frombuffer(symbols[i], np.int16) for i in order]), np.array([index[langs[i]] for i in order])
+    return names, [raw for _, raw in rows], np.array([index[lang] for lang, _ in rows], np.int64)
+
+
+Model = tuple[list[str], Parameters | None]
+
+
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, steps: int = STEPS) -> Model:
+    """The languages and the network; no network where there are not two languages."""
+    names, texts, labels = training_texts(docs, train_docs)
+    return names, train(texts, labels, len(names), steps) if len(names) > 1 else None
+
+
+def save(model: Model, path: str) -> None:
+    np.savez(path, names=np.array(model[0], dtype=str), **(model[1] or {}))
+
+
+def load(path: str) -> Model:
+    with np.load(path) as kept:
+        p = {k: kept[k] for k in kept.files if k != "names"}
+        return kept["names"].tolist(), p or None
 
 
 def label(p: Parameters | None, languages: int, texts: list[str | None], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -272,7 +285,7 @@ def _label_run(p: Parameters | None, texts: list[str | None], window: int, sums:
     for at in range(0, len(found), LANES):
         block, own = found[at : at + LANES], owners[at : at + LANES]
         q = position_probabilities(p, block) if languages > 1 else np.ones((1, window, len(block)), np.float32)
-        best, most = np.zeros(q.shape[1:], np.int8), q[0].copy()
+        best, most = np.zeros(q.shape[1:], np.int32), q[0].copy()
         for k in range(1, languages):
             best[q[k] > most] = k
             np.maximum(most, q[k], out=most)
@@ -288,13 +301,12 @@ def _label_run(p: Parameters | None, texts: list[str | None], window: int, sums:
         votes[own[starts]] += np.add.reduceat(counts, starts)
 
 
-def identify(docs: DataFrame, steps: int = STEPS, train_docs: int = TRAIN_DOCS) -> DataFrame:
+def identify(docs: DataFrame, steps: int = STEPS, train_docs: int = TRAIN_DOCS, model: Model | None = None) -> DataFrame:
     """(doc_id, language, probability, n_positions, labels) for every row.
 
     ``labels`` has, for each language with any, how many positions carry its label.
     """
-    names, windows, labels = training_windows(docs, train_docs)
-    p = train(windows, labels, len(names), steps) if len(names) > 1 else None
+    names, p = model or fit(docs, train_docs, steps)
     return apply(docs.select("doc_id", "text"), p, names)
 
 
@@ -322,13 +334,12 @@ def apply(docs: DataFrame, p: Parameters | None, names: list[str]) -> DataFrame:
 _LABELS = pa.list_(pa.struct([("language", pa.string()), ("positions", pa.int64())]))
 
 
-def known_language(docs: DataFrame, min_probability: float = MIN_PROBABILITY, **parameters) -> DataFrame:
+def known_language(docs: DataFrame, min_probability: float = MIN_PROBABILITY, steps: int = STEPS, train_docs: int = TRAIN_DOCS, model: Model | None = None) -> DataFrame:
     """The documents whose language is known with the probability at least; all their columns, the order of columns kept.
 
     Rows are told apart by a number of their own, so repeated and null doc_ids are judged row by row.
     """
-    names, windows, labels = training_windows(docs, parameters.get("train_docs", TRAIN_DOCS))
-    p = train(windows, labels, len(names), parameters.get("steps", STEPS)) if len(names) > 1 else None
+    names, p = model or fit(docs, train_docs, steps)
     (verdict,) = fresh(docs, "known")
 
     @F.pandas_udf("boolean")

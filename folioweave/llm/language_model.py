@@ -29,7 +29,7 @@ block, and their classes and counts come back by block. The driver holds the hea
 bigrams only; all other words stay a table.
 
 Defined results: a text without a word (null, empty, only punctuation) has 0
-words and a null score; rows come out as often as they went in and repeated rows
+words and a null score; very long texts count whole, in runs; rows come out as often as they went in and repeated rows
 count repeatedly in the statistics; ties in frequency go by the word, ties
 between classes to the lower number; a null doc_id is scored like any other;
 extra columns are ignored; an empty table gives an empty table.
@@ -51,7 +51,8 @@ from .common import cut, text_runs
 
 VOCABULARY = 4096
 CLASSES = 48
-PASSES = 4
+#: Exchange ends where a pass moves no word; this only stops words that ties move to and fro.
+PASSES = 40
 #: Numbers of the border and of the unknown word; the vocabulary follows.
 BORDER, UNKNOWN, FIRST = 0, 1, 2
 #: A task's counts are handed on when they have so many entries.

@@ -3,10 +3,12 @@
 One automaton holds identifier tags (``SPDX-License-Identifier:`` and the like),
 another the notice phrases. What follows a tag on its line is a licence
 expression: a shunting-yard parser turns it into postfix form, in which WITH
-binds closest, then AND, then OR. The value of an expression is allow, unknown
-or deny; AND takes the worse side, OR the better, WITH an allowed exception
-makes a copyleft licence allowed. A notice phrase stands for its licence. All
-findings of a document hold together, so its verdict is the worst of them.
+binds closest, then AND, then OR, for which a slash may stand. The value of an
+expression is allow, unknown or deny; AND takes the worse side, OR the better,
+and an exception WITH one of the licences that it belongs to is allowed. After
+the plain tag ``License:``, where prose may follow, an expression counts only if
+it names a known licence. A notice phrase stands for its licence. All findings of
+a document hold together, so its verdict is the worst of them.
 
 Plan: one Arrow pass over (doc_id, text), no shuffle.
 
@@ -14,9 +16,9 @@ Defined results: letter case and, in notices, the kind of white space do not
 matter; a match must stand between non-alphanumeric characters; overlapping
 notices yield to the leftmost, then longest; an expression that does not parse
 is kept as found with the value unknown; a document without findings, or with a
-null or empty text, has empty arrays and the verdict none; rows come out as
-often as they went in, in particular repeated rows and null ids; extra columns
-are ignored.
+null or empty text, has empty arrays and the verdict none; very long texts are
+scanned whole; rows come out as often as they went in, in particular repeated rows
+and null ids; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ from .common import text_runs
 ALLOW, UNKNOWN, DENY = 2, 1, 0
 VERDICTS = {ALLOW: "allow", UNKNOWN: "unknown", DENY: "deny"}
 
-TAGS = ("spdx-license-identifier:", "license-identifier:", "license-expression:", "license:")
+PLAIN_TAG = "license:"
+TAGS = ("spdx-license-identifier:", "license-identifier:", "license-expression:", PLAIN_TAG)
 
 #: Identifiers, in lower case, and whether training on the text is allowed.
 POLICY = {
@@ -50,7 +53,18 @@ POLICY = {
         DENY,
     ),
 }
-EXCEPTIONS = {"classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "linux-syscall-note", "font-exception-2.0", "bison-exception-2.2"}
+_GPL2 = ("gpl-2.0", "gpl-2.0-only", "gpl-2.0-or-later", "gpl-2.0+")
+_GPL3 = ("gpl-3.0", "gpl-3.0-only", "gpl-3.0-or-later", "gpl-3.0+")
+#: Exceptions and the licences with which they are allowed.
+EXCEPTIONS = {
+    "classpath-exception-2.0": frozenset(_GPL2 + _GPL3),
+    "gcc-exception-3.1": frozenset(_GPL3),
+    "llvm-exception": frozenset(["apache-2.0"]),
+    "linux-syscall-note": frozenset(_GPL2),
+    "font-exception-2.0": frozenset(_GPL2 + _GPL3),
+    "bison-exception-2.2": frozenset(_GPL2 + _GPL3),
+    "autoconf-exception-3.0": frozenset(_GPL3),
+}
 
 NOTICES = {
     "licensed under the apache license, version 2.0": "apache-2.0",
@@ -83,7 +97,7 @@ NOTICES = {
     "all rights reserved": "licenseref-proprietary",
 }
 
-_TOKEN = re.compile(r"\(|\)|[a-z0-9][a-z0-9.+:-]*", re.ASCII)
+_TOKEN = re.compile(r"\(|\)|/|[a-z0-9][a-z0-9.+:-]*", re.ASCII)
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -92,7 +106,7 @@ def tokens(expression: str) -> list[str]:
     out, depth, operand = [], 0, True
     at = 0
     while m := _TOKEN.match(expression, at + len(expression[at:]) - len(expression[at:].lstrip(" \t"))):
-        t = m.group().rstrip(".:") or m.group()
+        t = "or" if m.group() == "/" else m.group().rstrip(".:") or m.group()
         if operand:
             if t == "(":
                 depth += 1
@@ -140,16 +154,24 @@ def postfix(found: list[str]) -> list[str] | None:
     return out + stack[::-1]
 
 
+def value_of(identifier: str) -> int:
+    return POLICY.get(identifier, POLICY.get(identifier.rstrip("+"), UNKNOWN))
+
+
+def is_known(identifier: str) -> bool:
+    return identifier.rstrip("+") in POLICY
+
+
 def evaluate(form: list[str]) -> int:
     """The value of a postfix expression."""
     values: list[tuple[int, str]] = []
     for t in form:
         if t not in _BINDS:
-            values.append((POLICY.get(t, POLICY.get(t.rstrip("+"), UNKNOWN)), t))
+            values.append((value_of(t), t))
             continue
         (right, name), (left, licence) = values.pop(), values.pop()
         if t == "with":
-            values.append((max(left, ALLOW) if name in EXCEPTIONS else min(left, UNKNOWN), licence))
+            values.append((ALLOW if licence in EXCEPTIONS.get(name, ()) else min(left, UNKNOWN), ""))
         else:
             values.append((min(left, right) if t == "and" else max(left, right), ""))
     return values[0][0]
@@ -186,9 +208,9 @@ def scan(text: str | None) -> tuple[list[str], list[str], str]:
     lower = text.lower()
     expressions, values = [], []
     for start, tag in matches(lower, TAGS):
-        line = lower[start + len(tag) :].split("\n", 1)[0] if len(lower) < 10_000 else lower[start + len(tag) : (lower.find("\n", start) + 1 or len(lower) + 1) - 1]
-        parsed = tokens(line)
-        if not parsed:
+        end = lower.find("\n", start)
+        parsed = tokens(lower[start + len(tag) : len(lower) if end < 0 else end])
+        if not parsed or (tag == PLAIN_TAG and not any(map(is_known, parsed))):
             continue
         form = postfix(parsed)
         expressions.append(" ".join(parsed))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioweave.llm import embedding_dedup, lz_fingerprint, packing, simhash_dedup
+from folioweave.llm import embedding_dedup, links, lz_fingerprint, packing, simhash_dedup
 from folioweave.llm.components import components
 from folioweave.llm.queries import QUERIES
 
@@ -32,7 +32,8 @@ def docs(spark):
     return spark.createDataFrame(near_copies(), "doc_id long, text string").cache()
 
 
-def test_components_equal_union_find(spark):
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components_equal_union_find(spark, one_task):
     rng = random.Random(1)
     edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(50)] + [(i, i + 1) for i in range(200, 240)] + [(3, 3), (None, 4)]
     root = {}
@@ -47,21 +48,97 @@ def test_components_equal_union_find(spark):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     want = {(x, find(x)) for x in root if find(x) != x}
-    assert {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == want
+    assert {tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()} == want
 
 
-def test_simhash_recall_against_brute_force(spark, docs):
+def brute_groups(ids, linked):
+    """Lowest id of each id's component under ``linked(i, j)`` on places."""
+    root = {x: x for x in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(ids)):
+        for j in range(i):
+            if linked(i, j):
+                a, b = sorted((find(ids[i]), find(ids[j])))
+                root[b] = a
+    return {x: find(x) for x in ids}
+
+
+def test_forest_keeps_components():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        a, b = rng.integers(0, 50, (2, 30))
+        ids, root = links.lowest(a, b)
+        want = brute_groups(sorted({*a.tolist(), *b.tolist()}), lambda i, j: False)
+        pairs = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+        names = sorted({*a.tolist(), *b.tolist()})
+        want = brute_groups(names, lambda i, j: (names[j], names[i]) in pairs)
+        assert dict(zip(ids.tolist(), root.tolist())) == want
+
+
+@pytest.mark.parametrize("block", [links.BLOCK, 8])
+def test_linked_loses_no_link_of_a_shared_cell(spark, monkeypatch, block):
+    """Items on a line, linked within 2; all of them share a hot cell, which is split where blocks are small."""
+    monkeypatch.setattr(links, "BLOCK", block)
+    monkeypatch.setattr(links, "COUNTED", 1)
+    rng = random.Random(4)
+    at = [rng.randrange(400) for _ in range(150)] + [1000 + i for i in range(60)]
+    items = spark.createDataFrame(list(enumerate(at)), "id long, at long")
+    near = lambda a, b: F.abs(F.col(f"{a}.at") - F.col(f"{b}.at")) <= 2
+    few = lambda rows: rows.withColumn("cells", F.array(F.floor(F.col("at") / 3)))
+    many = lambda rows: rows.withColumn("cells", F.array(F.lit(-1).cast("long"), F.floor(F.col("at") / 100)))
+    got = {r["node"]: r["root"] for r in links.linked(items, ["at"], near, few, many).collect()}
+    want = brute_groups(range(len(at)), lambda i, j: abs(at[i] - at[j]) <= 2)
+    assert got == {x: r for x, r in want.items() if x != r} and len(got) > 60
+
+
+def flipped(rng, base, n):
+    out = base.copy()
+    out[rng.choice(len(base), n, replace=False)] ^= 1
+    return out
+
+
+def test_grids_lose_nothing_up_to_the_pigeonhole_bound_and_recall_holds_at_the_limit():
+    """Share of pairs that meet in a cell, by distance."""
+    rng = np.random.default_rng(9)
+    dims, most = simhash_dedup.DIMS, simhash_dedup.MAX_DISTANCE
+    sure = 2 * len(simhash_dedup._segments(dims, most)) - 1
+
+    def met(distance, n=400):
+        x = rng.integers(0, 2, (n, simhash_dedup.BITS)).astype(np.uint8)
+        y = np.array([flipped(rng, row, distance) for row in x])
+        cells = []
+        for bits in (x, y):
+            found, sizes = simhash_dedup.cells(bits.reshape(n, -1, simhash_dedup.SEGMENT).sum(2, dtype=np.int64), dims, most)
+            cells.append([set(p.tolist()) for p in np.split(found, np.cumsum(sizes)[:-1])])
+        return np.mean([bool(a & b) for a, b in zip(*cells)])
+
+    assert sure >= 23 and all(met(d, 150) == 1.0 for d in (1, 8, 16, sure - 1, sure))
+    assert met(36) >= 0.97 and met(most, 1500) >= 0.94
+    assert abs(met(128, 1500) - len(simhash_dedup._segments(dims, most)) * simhash_dedup.meeting(dims, 128)) < 0.03
+
+
+def test_simhash_groups_equal_brute_force(spark, docs):
     rows = docs.collect()
     bits, _ = simhash_dedup.fingerprint_bits([r["text"] for r in rows])
     far = (bits[:, None, :] != bits[None, :, :]).sum(2)
     ids = [r["doc_id"] for r in rows]
-    near = {(min(a, b), max(a, b)) for i, a in enumerate(ids) for j, b in enumerate(ids) if i < j and 0 < far[i, j] <= simhash_dedup.MAX_DISTANCE}
-    prints = simhash_dedup.fingerprints(docs).withColumnRenamed("doc_id", "id")
-    got = {tuple(r) for r in simhash_dedup.near_pairs(prints).collect()}
-    got = {(a, b) for a, b in got if far[ids.index(a), ids.index(b)] > 0}
-    assert got <= near and len(near) > 40 and len(got) >= 0.9 * len(near)
-    gone = {r["doc_id"]: r["kept_doc_id"] for r in simhash_dedup.copies(docs).collect()}
-    assert {900, 901} <= set(gone) and not set(gone) & set(gone.values())
+    want = brute_groups(ids, lambda i, j: far[i, j] <= simhash_dedup.MAX_DISTANCE)
+    want = {x: r for x, r in want.items() if x != r}
+    got = {r["doc_id"]: r["kept_doc_id"] for r in simhash_dedup.copies(docs).collect()}
+    assert set(got) <= set(want) and len(want) > 40 and sum(got.get(x) == r for x, r in want.items()) >= 0.97 * len(want)
+    assert {900, 901} <= set(got) and not set(got) & set(got.values())
+
+
+def test_rows_of_one_doc_id_link_their_texts(spark, docs):
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(3).collect()]
+    rows = [(1, texts[0]), (2, texts[0]), (2, "quite other words stand here"), (9, "quite other words stand here"), (4, None)]
+    got = {tuple(r) for r in simhash_dedup.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(2, 1), (9, 1)}
 
 
 def test_popcounts_never_exceed_the_distance():
@@ -92,23 +169,67 @@ def test_phrases_equal_a_dictionary_parse():
     assert lz_fingerprint.phrases("one two three one two four") == lz_fingerprint.phrases("One, two three; one two FOUR!")
 
 
-def test_fingerprint_recall_against_brute_force(docs):
+def test_bands_hold_recall_from_the_threshold_up():
+    """Signatures that agree in just as many hashes as the threshold asks, or more, meet in a band."""
+    rng = np.random.default_rng(3)
+    least = lz_fingerprint.least_equal(lz_fingerprint.MIN_SIMILARITY)
+    for rows in (3, 4, 5):
+        bands = lz_fingerprint.bands_of(rows)
+        for equal in (least, least + 4, least + 10):
+            agree = np.array([np.isin(np.arange(lz_fingerprint.HASHES), rng.choice(lz_fingerprint.HASHES, equal, replace=False)) for _ in range(1500)])
+            assert agree[:, bands].all(2).any(1).mean() >= 0.94, (rows, equal)
+    assert [lz_fingerprint.rows_for(n) for n in (0, 10**6, 10**7, 10**9)] == [3, 3, 4, 6]
+
+
+def loose_copies(seed=11):
+    """Texts of which copies keep from nearly all words down to about half."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for i in range(50):
+        base = [rng.choice(words) for _ in range(150)]
+        rows.append(" ".join(base))
+        for share in (0.02, 0.1, 0.2, 0.3, 0.4):
+            rows.append(" ".join(rng.choice(words) if rng.random() < share else w for w in base))
+    rows += rows[:40] * 2
+    rng.shuffle(rows)
+    return [(7 * i % 1009, t) for i, t in enumerate(rows)]
+
+
+def test_fingerprint_classes_equal_brute_force(spark):
+    rows = loose_copies()
+    ids, signs = [i for i, _ in rows], np.array([lz_fingerprint.minimum_hashes(lz_fingerprint.phrases(t)) & np.uint64(255) for _, t in rows])
+    equal = (signs[:, None] == signs[None]).sum(2)
+    least = lz_fingerprint.least_equal(lz_fingerprint.MIN_SIMILARITY)
+    want = brute_groups(ids, lambda i, j: equal[i, j] >= least)
+    got = {r["doc_id"]: r for r in lz_fingerprint.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    assert np.mean([got[i]["class_id"] == r for i, r in want.items()]) >= 0.97
+    pairs = [(i, j) for i in range(len(ids)) for j in range(i) if least <= equal[i, j] < 64]
+    assert len(pairs) > 300 and np.mean([got[ids[i]]["class_id"] == got[ids[j]]["class_id"] for i, j in pairs]) >= 0.97
+    # numbers of links and similarities hold for the classes found
+    for i, r in got.items():
+        members = [k for k, x in enumerate(ids) if got[x]["class_id"] == r["class_id"]]
+        assert r["n_links"] == len({signs[k].tobytes() for k in members}) - 1
+        share = equal[ids.index(i), ids.index(r["class_id"])] / 64
+        assert abs(r["similarity"] - max(0.0, (share - 1 / 256) / (1 - 1 / 256))) < 1e-9
+
+
+def test_signatures_estimate_jaccard(docs):
     rows = docs.collect()
-    sets = {r["doc_id"]: lz_fingerprint.phrases(r["text"]) for r in rows}
-    ids = sorted(sets)
-    true = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(ids) for b in ids[i + 1 :]}
-    got = {(r["doc_id"], r["other_doc_id"]): r["similarity"] for r in lz_fingerprint.similar_documents(docs).collect()}
-    sure = {p for p, s in true.items() if 0.7 <= s < 1}
-    low = {a: min(b for b in ids if sets[b] == sets[a]) for a in ids}
-    found = sum((low[a], low[b]) in got or (low[b], low[a]) in got or low[a] == low[b] for a, b in sure)
-    assert found >= 0.9 * len(sure)
-    assert all(true[p] > 0.25 for p in got)
-    assert np.mean([abs(true[p] - s) for p, s in got.items()]) < 0.08
+    sets = [lz_fingerprint.phrases(r["text"]) for r in rows]
+    signs = np.array([lz_fingerprint.minimum_hashes(s) & np.uint64(255) for s in sets])
+    error = [abs((signs[i] == signs[j]).mean() - len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(sets)) for j in range(i)]
+    assert np.mean(error) < 0.08
 
 
 def test_fingerprints_odd_rows(odd, empty):
-    pairs = {(r["doc_id"], r["other_doc_id"]) for r in lz_fingerprint.similar_documents(odd).collect()}
-    assert (1, 106) in pairs and not {100, 101, 102, 103} & {x for p in pairs for x in p}
+    got = lz_fingerprint.similar_documents(odd).collect()
+    assert len(got) == odd.count()
+    of = {r["doc_id"]: r for r in got}
+    assert of[106]["class_id"] == of[1]["class_id"] == 1 and of[1]["similarity"] == 1.0
+    assert all(r["class_id"] is None and r["n_links"] == 0 and r["similarity"] is None for r in got if r["doc_id"] in (None, 100, 101, 102, 103))
+    assert of[104]["class_id"] == 104
     assert lz_fingerprint.similar_documents(empty).count() == 0
 
 
@@ -132,23 +253,48 @@ def test_estimate_is_unbiased_and_bounded(vectors):
     assert (np.abs(error) <= bound).mean() > 0.99
 
 
-def test_embedding_recall_against_brute_force(spark, vectors):
-    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(vectors)], "vec_id long, embedding array<float>")
-    x = vectors.astype(np.float32).astype(float)
+def test_bands_hold_recall_at_the_least_cosine():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 64))
+    y = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y -= (x * y).sum(1)[:, None] * x
+    y = 0.9 * x + np.sqrt(1 - 0.81) * y / np.linalg.norm(y, axis=1)[:, None]
+    turn = embedding_dedup.rotation(64, embedding_dedup.BITS)
+    agree = (x @ turn > 0) == (y @ turn > 0)
+    for n in (1000, 10**5, 10**7):
+        assert agree[:, embedding_dedup.bands_of(n)].all(2).any(1).mean() >= 0.93
+
+
+def test_embedding_classes_equal_brute_force(spark, vectors):
+    x = np.concatenate([vectors, vectors[:40], vectors[:20]])
+    table = spark.createDataFrame([(37 * i % 1009, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(np.float32).astype(float)
     x /= np.linalg.norm(x, axis=1)[:, None]
-    cosine = x @ x.T
-    near = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if cosine[i, j] >= 0.9}
-    got = {(r["vec_id"], r["other_vec_id"]): r["cosine"] for r in embedding_dedup.near_duplicates(table).collect()}
-    assert set(got) <= near and len(near) > 30 and len(got) >= 0.9 * len(near)
-    assert all(abs(cosine[p] - v) < 1e-6 for p, v in got.items())
+    ids, cosine = [37 * i % 1009 for i in range(len(x))], x @ x.T
+    want = brute_groups(ids, lambda i, j: cosine[i, j] >= 0.9)
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(table).collect()}
+    assert len(got) == len(x) and np.mean([got[i]["class_id"] == r for i, r in want.items()]) >= 0.97
+    assert len({r["class_id"] for r in got.values()}) < len(x) - 80
+    for i, r in got.items():
+        members = [k for k, v in enumerate(ids) if got[v]["class_id"] == r["class_id"]]
+        assert r["n_links"] == len({x[k].astype(np.float32).tobytes() for k in members}) - 1
+        assert abs(r["cosine"] - cosine[ids.index(i), ids.index(r["class_id"])]) < 1e-6
+
+
+def test_codes_do_not_depend_on_the_partitioning(spark, vectors):
+    x = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    whole, half = embedding_dedup.encode(x), embedding_dedup.encode(x[50:60])
+    assert all(np.array_equal(whole[k][50:60], half[k]) for k in whole if k[0] in "cp") and np.array_equal(whole["total"][50:60], half["total"])
 
 
 def test_embedding_odd_rows(spark):
     rows = [(1, [1.0, 0.0], "x"), (2, [2.0, 0.0], "x"), (3, None, None), (4, [], "x"), (5, [0.0, 0.0], "x"), (6, [float("nan"), 1.0], "x")]
     rows += [(None, [1.0, 0.0], "x"), (7, [1.0, 0.0, 0.0], "x"), (1, [1.0, 0.0], "x"), (8, [None, 1.0], "x"), (9, [float(i) for i in range(1, 400)], "x"), (10, [float(i) + 0.01 for i in range(1, 400)], "x")]
     schema = "vec_id long, embedding array<float>, band string"
-    got = {(r["vec_id"], r["other_vec_id"]) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {(1, 2), (9, 10)}
+    got = sorted((tuple(r)[:3] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, schema)).collect()), key=str)
+    want = [(1, 1, 0), (1, 1, 0), (2, 1, 0), (7, 7, 0), (9, 9, 1), (10, 9, 1), *((i, None, 0) for i in (3, 4, 5, 6, 8, None))]
+    assert got == sorted(want, key=str)
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
@@ -162,7 +308,7 @@ def test_pipeline_keeps_columns_and_every_decision(spark, odd, empty, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     pieces = {r["doc_id"] for r in last.collect()}
-    assert pieces == {r["doc_id"] for r in docs.collect() if (r["text"] or "").split()}
+    assert pieces == {r["doc_id"] for r in docs.collect() if r["text"]}
     assert last.agg(F.max("length")).first()[0] <= packing.CAPACITY
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
@@ -172,14 +318,34 @@ def test_every_operator_has_a_query():
     assert {name.split("_")[0] for name in QUERIES} == {f"op{n}" for n in range(1, 11)}
 
 
+def test_run_writes_each_stage_and_leaves_only_the_last_table(spark, odd, tmp_path, monkeypatch):
+    from folioweave.llm import language_id
+
+    monkeypatch.setattr(language_id, "STEPS", 10)
+    (tmp_path / "shared").mkdir()
+    monkeypatch.setattr(corpus_pipeline, "_folder", lambda spark: f"{tmp_path}/shared/one")
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and [p.name for p in (tmp_path / "shared/one").iterdir()] == ["3-source_mixing"]
+    assert {r["doc_id"] for r in got} <= {r["doc_id"] for r in odd.collect()}
+
+
+def test_line_stage_lets_emptied_documents_go_and_no_others(spark):
+    lines = "\n".join(f"line {i} of it" for i in range(5))
+    rows = [(1, lines), (2, lines), (3, ""), (4, None), (5, lines + "\nown end")]
+    got = {r["doc_id"]: r["text"] for r in corpus_pipeline.dedup_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert got == {1: lines, 3: "", 4: None, 5: "own end"}
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
     """Every stage again, over its predecessor's rows, by slow means."""
     from collections import Counter
 
     import duckdb
+    import tiktoken
     from test_text_operators import brute_dedup
 
-    from folioweave.llm import language_id, mixing
+    from folioweave.llm import language_id, mixing, token_counts
 
     monkeypatch.setattr(language_id, "STEPS", 25)
     shared = "\n".join(f"a line that many documents share {i}" for i in range(9))
@@ -194,8 +360,8 @@ def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         got[name] = [r.asDict() for r in docs.collect()]
         if name == "language_id":
-            names, windows, labels = language_id.training_windows(before)
-            p = language_id.train(windows, labels, len(names), 25)
+            names, texts_of, labels = language_id.training_texts(before)
+            p = language_id.train(texts_of, labels, len(names), 25)
             want = set()
             for r in rows:
                 sums, votes = language_id.label(p, len(names), [r[1]])
@@ -203,7 +369,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
                     want.add(r[0])
             assert {r["doc_id"] for r in got[name]} == want and len(want) > 10
     first, second, third, fourth, last = got.values()
-    assert {r["doc_id"]: r["text"] for r in second} == brute_dedup([(r["doc_id"], r["text"]) for r in first])
+    assert {r["doc_id"]: r["text"] for r in second} == {d: t for d, t in brute_dedup([(r["doc_id"], r["text"]) for r in first]).items() if t}
     bits, have = simhash_dedup.fingerprint_bits([r["text"] for r in second])
     ids, root = [r["doc_id"] for r in second], {r["doc_id"]: r["doc_id"] for r in second}
 
@@ -221,36 +387,10 @@ def test_pipeline_equals_brute_force(spark, tmp_path, monkeypatch):
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/simhash_dedup/*.parquet'")
     copies = {d: n for d, _, n in con.sql(mixing.SQL).fetchall() if n}
     assert Counter(r["doc_id"] for r in fourth) == copies
-    lengths = Counter(len(r["text"].split()) + 1 for r in fourth if r["text"].split())
+    encode = tiktoken.Encoding("own", pat_str=token_counts.PATTERN, mergeable_ranks=token_counts.load_ranks(token_counts.VOCABULARY), special_tokens={}).encode_ordinary
+    lengths = Counter(len(encode(r["text"])) + 1 for r in fourth if r["text"])
     windows = Counter()
     for r in last:
         windows[r["window_id"]] += r["length"]
     filled = [sum(k * n for k, n in filling.items()) for filling, times in packing.plan(lengths) for _ in range(times)]
     assert sorted(windows.values()) == sorted(filled)
-
-
-def test_fingerprints_list_every_pair_of_copies_and_near_copies(spark):
-    rows = near_copies(20, 3, 9)
-    rows = [(7 * i % 1009, t) for i, (_, t) in enumerate(rows + [r for r in rows[:30] for _ in range(3)])]
-    sets = {i: lz_fingerprint.phrases(t) for i, t in rows}
-    ids = sorted(sets)
-    true = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(ids) for b in ids[i + 1 :]}
-    out = lz_fingerprint.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    got = {(r["doc_id"], r["other_doc_id"]) for r in out}
-    equal, near = {p for p, s in true.items() if s == 1}, {p for p, s in true.items() if 0.7 <= s < 1}
-    assert len(got) == len(out) and all(a < b for a, b in got)
-    assert equal <= got and len(equal) > 100
-    assert len(near & got) >= 0.9 * len(near) > 50
-
-
-def test_embeddings_list_every_pair_of_copies_and_near_copies(spark):
-    rng = np.random.default_rng(8)
-    base = rng.normal(size=(20, 48))
-    near = base + rng.normal(size=(20, 48)) * 0.05
-    x = np.concatenate([base, near, base, near, base])
-    rows = [(37 * i % 101, [float(v) for v in row]) for i, row in enumerate(x)]
-    unit = x / np.linalg.norm(x, axis=1)[:, None]
-    true = {tuple(sorted((rows[i][0], rows[j][0]))) for i in range(100) for j in range(i) if unit[i] @ unit[j] >= 0.9}
-    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
-    got = {(r["vec_id"], r["other_vec_id"]) for r in out}
-    assert len(got) == len(out) and got <= true and len(got) >= 0.9 * len(true) and len(true) >= 200
