@@ -1,9 +1,10 @@
 """A corpus pipeline: five training-data operators, each over all that the one before it kept.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
-Parquet and read again before the next stage. All stages but the last keep the
-columns of ``documents``. Nulls, repeated rows, empty tables and extra columns
-have the results that the operators' docstrings state.
+Parquet and read again before the next stage, whereupon the table before it is
+deleted. All stages but the last keep the columns of ``documents``. Nulls, very
+long texts, ties, repeated rows, empty tables and extra columns have the results
+that the operators' docstrings state.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from folioweave.llm import language_id, line_dedup, mixing, packing, simhash_dedup
+from folioweave.llm.common import fresh
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,8 +25,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without line chunks that stood earlier in the corpus."""
-    return line_dedup.dedup_lines(docs)
+    """The documents without runs of lines that stood earlier in the corpus; those of which nothing is left go."""
+    left = line_dedup.dedup_lines(docs.withColumn(was := fresh(docs, "was_empty")[0], F.coalesce(F.col("text") == "", F.lit(True))))
+    return left.where(F.col(was) | (F.col("text") != "")).drop(was)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +66,12 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared or tempfile.gettempdir()}/corpus-pipeline-{uuid.uuid4().hex}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over ``documents``; the last stage's rows."""
     folder = _folder(spark)
@@ -71,4 +81,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i + 1 < len(STAGES):
             docs.write.parquet(f"{folder}/{i}-{name}")
             docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            if i:
+                _delete(spark, f"{folder}/{i - 1}-{STAGES[i - 1][0]}")
     return docs
