@@ -246,11 +246,11 @@ def safety_reason(first_path: Column, second_path: Column, branch: Column, cfg:
     fallback, overlap = c("registration_fallback_used"), c("feature_overlap")
     identified = (overlap >= cfg.occlusion_dirty_exterior_min_feature_overlap) | (c("registration_alignment_score") >= cfg.occlusion_dirty_exterior_min_alignment_score)
     return (
-        F.when(placed & F.lit(cfg.automatic_link_require_same_filename_prefix) & (prefix_a != prefix_b), F.lit("prefixes differ"))
-        .when(placed & (prefix_a == prefix_b) & (F.abs(number_a - number_b) > cfg.automatic_link_max_numeric_filename_gap), F.lit("positions too far apart"))
+        F.when(placed & F.lit(cfg.automatic_link_require_same_filename_prefix) & (prefix_a != prefix_b), F.lit("filename prefixes differ"))
+        .when(placed & (prefix_a == prefix_b) & (F.abs(number_a - number_b) > cfg.automatic_link_max_numeric_filename_gap), F.lit("filename positions too far apart"))
         .when(F.lit(not cfg.automatic_link_allow_full_page_ecc) & fallback & (c("full_page_occlusion_count") > 0), F.lit("full page by fallback registration"))
         .when(occluded & (fallback | (overlap < cfg.automatic_link_min_physical_occlusion_feature_overlap)), F.lit("occlusion without strong overlap"))
-        .when(occluded & dirty_exterior(cfg) & ~identified, F.lit("dirty exterior without strong support"))
+        .when(occluded & dirty_exterior(cfg) & ~identified, F.lit("dirty exterior without strong registration support"))
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import interpolate, log_loss, ratio
-from .ranks import ranked, running_sums
+from .ranks import counted_before, ranked, running_sums
 
 c = F.col
 
@@ -199,16 +199,15 @@ SHARES = tuple(percent / 100 for percent in (0, 1, 2, 5, 10, 20, 25, 50, 100))
 
 def review_budget(rows: DataFrame, score: str, ties: Sequence[Column], truth: str, shares: Sequence[float] = SHARES) -> DataFrame:
     """What reviewing the best-ranked shares of the pairs catches."""
+    places = ranked(rows, score, ties).select(c(truth).cast("long").alias("t"), "rank", F.lit(1).alias("_one"))
     total = rows.agg(F.count("*").alias("total"), F.coalesce(F.sum(truth), F.lit(0)).alias("positives"))
-    places = ranked(rows, score, ties).select(c(truth).cast("long").alias("t"), "rank")
-    wanted = rows.sparkSession.createDataFrame([(float(s),) for s in shares], "review_fraction double")
-    budget = wanted.crossJoin(total).withColumn("review_pairs", F.least(c("total"), F.ceil(c("total") * c("review_fraction")).cast("long")))
-    # the shares are a handful of rows, so each ranked row is compared with them in place
-    inside = F.broadcast(budget).join(places, c("rank") <= c("review_pairs"), "left")
-    caught = inside.groupBy("review_fraction", "review_pairs", "positives").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("positive_pairs_caught"))
-    return caught.select(
-        "review_fraction", "review_pairs", "positive_pairs_caught",
-        ratio(c("positive_pairs_caught"), c("positives")).alias("recall"), ratio(c("positive_pairs_caught"), c("review_pairs")).alias("precision"),
+    budget = lambda share: F.least(c("total"), F.ceil(c("total") * F.lit(float(share))).cast("long"))
+    inside = lambda share: F.coalesce(F.sum(F.when(c("rank") <= budget(share), c("t"))), F.lit(0))
+    # one pass: a row of totals meets every ranked row, and a sum is taken for each share
+    sums = places.crossJoin(F.broadcast(total)).agg(*(inside(x).alias(f"_{i}") for i, x in enumerate(shares)))
+    curve = total.crossJoin(sums).select("total", "positives", F.explode(F.array(*(F.struct(F.lit(float(x)).alias("review_fraction"), budget(x).alias("review_pairs"), c(f"_{i}").alias("positive_pairs_caught")) for i, x in enumerate(shares)))).alias("s"))
+    return curve.select(
+        "s.*", ratio(c("s.positive_pairs_caught"), c("positives")).alias("recall"), ratio(c("s.positive_pairs_caught"), c("s.review_pairs")).alias("precision"),
     )
 
 
@@ -243,20 +242,44 @@ def isotonic_knots(points: Iterable[tuple[float, float, float]]) -> list[tuple[f
     return knots
 
 
+def pooled(points: Iterable[tuple[float, float, float, float]]) -> list[list[float]]:
+    """Blocks [low, high, sum of truth, count] after pooling adjacent violators among blocks in order."""
+    blocks: list[list[float]] = []
+    for low, high, hits, n in points:
+        blocks.append([low, high, float(hits), float(n)])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] > blocks[-1][2] * blocks[-2][3]:
+            _, high, hits, n = blocks.pop()
+            blocks[-1] = [blocks[-1][0], high, blocks[-1][2] + hits, blocks[-1][3] + n]
+    return blocks
+
+
 def fit_isotonic(rows: DataFrame, score: str, truth: str) -> DataFrame:
-    """(knot, score, value). Equal pairs of score and truth are counted in Spark, so one task sees distinct scores only."""
+    """(knot, score, value).
+
+    Pooling may be done piecewise: ranges of scores are pooled in their own tasks, and then their blocks, in which truths
+    rise from block to block, by one task. Blocks are few where truths rise with the score at all.
+    """
+
+    def pool(batches):
+        import pandas as pd
+
+        points = [x for batch in batches for x in batch[["low", "high", "hits", "n"]].itertuples(index=False)]
+        yield pd.DataFrame(pooled(sorted(points)), columns=["low", "high", "hits", "n"])
 
     def fit(batches):
         import pandas as pd
 
-        batches = list(batches)
-        found = pd.concat(batches) if batches else pd.DataFrame(columns=["score", "truth", "n"])
-        points = [(s, t * n, n) for s, t, n in found[["score", "truth", "n"]].itertuples(index=False)]
-        knots = isotonic_knots(points)
+        points = [x for batch in batches for x in batch[["low", "high", "hits", "n"]].itertuples(index=False)]
+        knots: list[tuple[float, float]] = []
+        for low, high, hits, n in pooled(sorted(points)):
+            knots += [k for x in dict.fromkeys((low, high)) if (k := (x, hits / n))]
         yield pd.DataFrame({"knot": range(len(knots)), "score": [k[0] for k in knots], "value": [k[1] for k in knots]})
 
-    counted = rows.where(c(score).isNotNull() & c(truth).isNotNull()).groupBy(c(score).cast("double").alias("score"), c(truth).cast("double").alias("truth")).agg(F.count("*").alias("n"))
-    return counted.coalesce(1).mapInPandas(fit, "knot int, score double, value double")
+    s = c(score).cast("double")
+    counted = rows.where(s.isNotNull() & c(truth).isNotNull()).groupBy(s.alias("low")).agg(F.sum(c(truth).cast("double")).alias("hits"), F.count("*").cast("double").alias("n"))
+    block = "low double, high double, hits double, n double"
+    ranges = counted.select("low", c("low").alias("high"), "hits", "n").repartitionByRange("low").mapInPandas(pool, block)
+    return ranges.repartition(1).mapInPandas(fit, "knot int, score double, value double")
 
 
 # --- splits
@@ -337,19 +360,135 @@ def replay_edge(threshold: Column, max_gap: Column, min_alignment: Column, score
     )
 
 
+GATES = ("threshold", "max_gap", "min_alignment")
+
+
+def _gates(score: str) -> list[str]:
+    return [score, "index_gap", "registration_alignment_score"]
+
+
 def replay_grid(rows: DataFrame, grid: DataFrame, score: str, truth: str) -> DataFrame:
-    """The grid's rows (threshold, max_gap, min_alignment) with the confusion of automatic edges; the grid is small and broadcast."""
+    """The grid's rows (threshold, max_gap, min_alignment) with the confusion of automatic edges.
+
+    Rows are first counted by all that an edge depends on; the grid, a caller's table, meets these counts.
+    """
+    may = c("deterministic_same_document") & c("automatic_link_eligible") & ~c("hard_contradiction")
+    counted = rows.groupBy(*_gates(score), may.alias("_may"), (c(truth) == 1).alias("_yes")).agg(F.count("*").alias("_n"))
+    counted = counted.withColumns({"deterministic_same_document": c("_may"), "automatic_link_eligible": F.lit(True), "hard_contradiction": F.lit(False)})
     edge = replay_edge(c("threshold"), c("max_gap"), c("min_alignment"), c(score))
-    yes = c(truth) == 1
-    return rows.crossJoin(F.broadcast(grid)).groupBy("threshold", "max_gap", "min_alignment").agg(
-        F.count_if(edge & yes).alias("tp"), F.count_if(edge & ~yes).alias("fp"), F.count_if(~edge & yes).alias("fn"), F.count_if(~edge & ~yes).alias("tn"),
+    n = lambda condition: F.sum(F.when(condition, c("_n")).otherwise(0)).alias
+    return counted.crossJoin(grid).groupBy(*GATES).agg(n(edge & c("_yes"))("tp"), n(edge & ~c("_yes"))("fp"), n(~edge & c("_yes"))("fn"), n(~edge & ~c("_yes"))("tn"))
+
+
+REPLAYED = (
+    "accepted_groups", "accepted_groups_recovered", "rejected_groups", "rejected_groups_separated", "positive_pairs", "positive_pairs_connected",
+    "negative_pairs", "negative_pairs_connected", "automatic_edge_tp", "automatic_edge_fp", "candidate_tp", "candidate_fp", "compared_positive_pairs", "compared_negative_pairs",
+)
+
+
+def _components_of(size: int, edges: frozenset[tuple[int, int]]) -> list[int]:
+    """How many members each component has."""
+    part = list(range(size))
+    for a, b in edges:
+        x, y = part[a], part[b]
+        if x != y:
+            part = [x if p == y else p for p in part]
+    return list(Counter(part).values())
+
+
+def replay_metrics(rows: DataFrame, groups: DataFrame, configs: Sequence[tuple[float, int | None, float | None]], score: str, candidate_threshold: float = 0.5) -> DataFrame:
+    """For each (threshold, max_gap, min_alignment): edges, candidates, and what becomes of groups and their pairs.
+
+    ``rows`` are compared pairs (original_cluster_id, first_image_id, second_image_id and what ``replay_edge`` reads);
+    ``groups`` are (original_cluster_id, review_decision, image_ids). All pairs of an accepted group are positive, those
+    of a rejected one negative, and pairs lie inside their group, so each group is replayed by itself. A batch of groups
+    yields one row a configuration; these are summed.
+    """
+    import pandas as pd
+
+    may = c("deterministic_same_document") & c("automatic_link_eligible") & ~c("hard_contradiction")
+    pair = F.struct("first_image_id", "second_image_id", c(score).cast("double").alias("score"), c("index_gap").cast("double").alias("gap"), c("registration_alignment_score").cast("double").alias("alignment"), may.alias("may"))
+    gathered = rows.groupBy("original_cluster_id").agg(F.collect_list(pair).alias("pairs"))
+    work = groups.join(gathered, "original_cluster_id", "left").select("review_decision", "image_ids", "pairs")
+    configs = [tuple(x) for x in configs]
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        sums = [[0] * len(REPLAYED) for _ in configs]
+        for batch in batches:
+            for decision, images, pairs in batch.itertuples(index=False):
+                place = {x: i for i, x in enumerate(images)}
+                found = [(place[p["first_image_id"]], place[p["second_image_id"]], p["score"], p["gap"], p["alignment"], bool(p["may"])) for p in (() if pairs is None else pairs)]
+                known: dict[frozenset, list[int]] = {}
+                n, yes = len(images), decision == "accepted"
+                candidates = sum(p[2] >= candidate_threshold for p in found)
+                for total, (threshold, gap, alignment) in zip(sums, configs):
+                    edges = [
+                        (a, b) for a, b, s, g, q, ok in found
+                        if ok and s >= threshold and (gap is None or g is None or g != g or g <= gap) and (alignment is None or (q is not None and q >= alignment))
+                    ]
+                    key = frozenset(edges)
+                    if key not in known:
+                        known[key] = _components_of(n, key)
+                    parts, all_pairs = known[key], n * (n - 1) // 2
+                    joined = sum(k * (k - 1) // 2 for k in parts)
+                    mine = (1, int(len(parts) == 1), 0, 0, all_pairs, joined, 0, 0) if yes else (0, 0, 1, int(len(parts) == n), 0, 0, all_pairs, joined)
+                    rest = (len(edges), 0, candidates, 0, len(found), 0) if yes else (0, len(edges), 0, candidates, 0, len(found))
+                    for i, v in enumerate((*mine, *rest)):
+                        total[i] += v
+        yield pd.DataFrame([(i, *row) for i, row in enumerate(sums)], columns=["config", *REPLAYED])
+
+    parts = work.mapInPandas(run, "config long, " + ", ".join(f"{k} long" for k in REPLAYED))
+    summed = parts.groupBy("config").agg(*(F.sum(k).alias(k) for k in REPLAYED))
+    named = rows.sparkSession.createDataFrame([(i, float(t), g, None if q is None else float(q)) for i, (t, g, q) in enumerate(configs)], "config long, threshold double, max_gap int, min_alignment double")
+    return summed.join(named, "config").select(*GATES, *REPLAYED).withColumns({
+        "perfect_group_fit": (c("accepted_groups_recovered") == c("accepted_groups")) & (c("rejected_groups_separated") == c("rejected_groups")),
+        "zero_false_links": (c("automatic_edge_fp") == 0) & (c("negative_pairs_connected") == 0),
+    })
+
+
+def best_replay(metrics: DataFrame) -> DataFrame:
+    """One row: the best of ``replay_metrics``.
+
+    Configurations without a false link come first, by recovered groups, connected positive pairs and true edges; where
+    there is none, the fewest false edges and connected negative pairs count. Last, open gates and the higher threshold win.
+    """
+    safe = c("zero_false_links")
+    rank = F.struct(
+        safe.cast("int"), F.when(safe, c("accepted_groups_recovered")).otherwise(-c("automatic_edge_fp")),
+        F.when(safe, c("positive_pairs_connected")).otherwise(-c("negative_pairs_connected")), F.when(safe, c("automatic_edge_tp")).otherwise(0),
+        -c("automatic_edge_fp"), -c("negative_pairs_connected"), c("max_gap").isNull().cast("int"), c("min_alignment").isNull().cast("int"),
+        F.floor(c("threshold") * 1_000_000_000),
     )
+    return metrics.agg(F.max_by(F.struct(*metrics.columns), rank).alias("b")).select("b.*")
+
+
+def replay_configs(rows: DataFrame, score: str, most: int = 24) -> list[tuple[float, int | None, float | None]]:
+    """Thresholds and gates to try: at most ``most`` observed scores, and half as many gaps and alignments besides open gates."""
+    def spread(column: str, limit: int) -> list:
+        # the values at evenly spread places of the sorted distinct ones; only these reach the driver
+        distinct = counted_before(rows.where(c(column).isNotNull()).select(c(column).cast("double").alias("v")).distinct(), ["v"], "n")
+        total = distinct.count()
+        places = range(1, total + 1) if total <= limit else sorted({1 + round(k * (total - 1) / (limit - 1)) for k in range(limit)})
+        return sorted(r["v"] for r in distinct.where(c("n").isin(list(places))).collect()) if total else []
 
+    gaps = [None, *(int(v) for v in spread("index_gap", most // 2))]
+    return [(t, g, q) for t in spread(score, most) for g in gaps for q in [None, *spread("registration_alignment_score", most // 2)]]
 
-def best_replay(confusions: DataFrame) -> DataFrame:
-    """One row: no false link before all, then most true links, then the mildest gates."""
-    rank = F.struct((c("fp") == 0).cast("int"), "tp", -c("fp"), -c("threshold"), F.coalesce("max_gap", F.lit(2**31)), -F.coalesce("min_alignment", F.lit(0.0)))
-    return confusions.agg(F.max_by(F.struct(*confusions.columns), rank).alias("b")).select("b.*")
+
+def replayed_predictions(rows: DataFrame, threshold: float, max_gap: int | None, min_alignment: float | None, score: str, candidate_threshold: float) -> DataFrame:
+    """The rows as predictions under a configuration: eligible by the gates, flagged by the score, the three states recomputed."""
+    p, q = c("same_document_probability"), c("occluded_given_same_probability")
+    gate = (
+        (c(score) >= threshold)
+        & (F.lit(max_gap is None) | c("index_gap").isNull() | (c("index_gap") <= F.lit(max_gap)))
+        & (F.lit(min_alignment is None) | F.coalesce(c("registration_alignment_score") >= F.lit(min_alignment), F.lit(False)))
+    )
+    return rows.withColumns({
+        "same_document": c("deterministic_same_document"), "automatic_link_eligible": c("automatic_link_eligible") & F.coalesce(gate, F.lit(False)),
+        "occlusion_candidate_flag": c(score) >= candidate_threshold, "same_clean_probability": p * (1 - q), "same_occluded_probability": p * q,
+        "different_document_probability": 1 - p, "replay_score_field": F.lit(score), "replay_automatic_threshold": F.lit(float(threshold)),
+        "replay_candidate_threshold": F.lit(float(candidate_threshold)),
+    })
 
 
 def spread_values(values: Sequence[float], limit: int = 24) -> list[float]:

@@ -1,9 +1,11 @@
 """Groups of captures that belong together.
 
 The constrained union takes accepted edges best first and refuses a merge that a
-contradiction forbids, so its result depends on the order of edges. It runs in
-Python for one sequence at a time; sequences are independent, and a sequence's
-band of pairs is small. The flags that its rules need are columns.
+contradiction forbids, so its result depends on the order of edges. Only accepted
+edges can merge, so the plain components of accepted edges are found first, by
+distributed stars; each is then united in Python by itself. Tasks thus follow the
+components, not the sequences, however few and long these are. The flags that the
+rules need are columns.
 """
 
 from __future__ import annotations
@@ -11,9 +13,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..materialize import materialize
+from .components import components
+from .ranks import counted_before
+
 c = F.col
 
 
@@ -56,24 +62,27 @@ def bridges() -> Column:
 def union_constrained(nodes: list, edges: Iterable[tuple], max_size: int | None = None) -> dict:
     """node -> first node of its group. Edges are (a, b, accepted, confidence, blocks, bridgeable, bridge) in their order."""
     group = {n: {n} for n in nodes}
-    known: dict[frozenset, tuple] = {}
-    accepted = []
-    for a, b, *facts in edges:
-        known[frozenset((a, b))] = tuple(facts)
-        if facts[0]:
-            accepted.append((facts[1], a, b))
+    accepted: list[tuple] = []
+    blocked: dict[object, dict[object, bool]] = {n: {} for n in nodes}
+    spans: dict[object, set] = {n: set() for n in nodes}
+    for a, b, same, confidence, blocks, bridgeable, bridge in edges:
+        # the last row of a pair counts
+        for x, y in ((a, b), (b, a)):
+            blocked[x].pop(y, None)
+            spans[x].discard(y)
+            if blocks:
+                blocked[x][y] = bridgeable
+            if bridge:
+                spans[x].add(y)
+        if same:
+            accepted.append((confidence, a, b))
 
     def forbidden(left: set, right: set) -> bool:
-        everyone = left | right
+        if len(left) > len(right):
+            left, right = right, left
         for x in left:
-            for y in right:
-                facts = known.get(frozenset((x, y)))
-                if facts is None or not facts[2]:
-                    continue
-                explained = facts[3] and any(
-                    known.get(frozenset((x, z)), (0,) * 5)[4] and known.get(frozenset((y, z)), (0,) * 5)[4] for z in everyone - {x, y}
-                )
-                if not explained:
+            for y, bridgeable in blocked[x].items():
+                if y in right and not (bridgeable and any(z in left or z in right for z in spans[x] & spans[y])):
                     return True
         return False
 
@@ -81,11 +90,14 @@ def union_constrained(nodes: list, edges: Iterable[tuple], max_size: int | None
         left, right = group[a], group[b]
         if left is right or (max_size is not None and len(left) + len(right) > max_size) or forbidden(left, right):
             continue
+        if len(left) < len(right):
+            left, right = right, left
         left |= right
         for n in right:
             group[n] = left
     rank = {n: i for i, n in enumerate(nodes)}
-    return {n: min(group[n], key=rank.__getitem__) for n in nodes}
+    first = {id(g): min(g, key=rank.__getitem__) for g in {id(g): g for g in group.values()}.values()}
+    return {n: first[id(group[n])] for n in nodes}
 
 
 def constrained_groups(items: DataFrame, pairs: DataFrame, max_size: int | None = None) -> DataFrame:
@@ -96,14 +108,23 @@ def constrained_groups(items: DataFrame, pairs: DataFrame, max_size: int | None
     first item's position, then the gap. Pairs without a known end are ignored.
     """
     kinds = dict(items.dtypes)
-    flagged = pairs.select(
-        "sequence_id",
-        F.struct(
-            "first_image_id", "second_image_id", "index_gap", "same_document", "confidence",
-            blocks_merge().alias("blocks"), may_be_bridged().alias("bridgeable"), bridges().alias("bridge"),
-        ).alias("p"),
+    accepted = pairs.where("same_document").select("sequence_id", c("first_image_id").alias("a"), c("second_image_id").alias("b"))
+    parts = materialize(items.select("sequence_id", "image_id", "sequence_index").join(components(items, accepted, ["sequence_id", "image_id"], "sequence_index"), ["sequence_id", "image_id"]))
+    sizes = parts.groupBy("sequence_id", "root").agg(F.count("*").alias("n"))
+    joined = parts.join(sizes, ["sequence_id", "root"])
+    many = joined.where("n > 1").drop("n")
+    end = lambda side: many.select("sequence_id", c("image_id").alias(f"{side}_image_id"), c("root").alias(f"_{side}"))
+    flagged = (
+        pairs.join(end("first"), ["sequence_id", "first_image_id"]).join(end("second"), ["sequence_id", "second_image_id"]).where("_first = _second")
+        .select(
+            "sequence_id", c("_first").alias("root"),
+            F.struct(
+                "first_image_id", "second_image_id", "index_gap", "same_document", "confidence",
+                blocks_merge().alias("blocks"), may_be_bridged().alias("bridgeable"), bridges().alias("bridge"),
+            ).alias("p"),
+        )
     )
-    both = items.select("sequence_id", "image_id", "sequence_index", F.lit(None).cast(flagged.schema["p"].dataType).alias("p")).unionByName(
+    both = many.withColumn("p", F.lit(None).cast(flagged.schema["p"].dataType)).unionByName(
         flagged.withColumns({"image_id": F.lit(None).cast(kinds["image_id"]), "sequence_index": F.lit(None).cast(kinds["sequence_index"])})
     )
 
@@ -112,7 +133,6 @@ def constrained_groups(items: DataFrame, pairs: DataFrame, max_size: int | None
         nodes = mine["image_id"].tolist()
         place = {n: i for i, n in enumerate(nodes)}
         found = [dict(p) if not hasattr(p, "asDict") else p.asDict() for p in rows.loc[rows["image_id"].isna(), "p"] if p is not None]
-        found = [p for p in found if p["first_image_id"] in place and p["second_image_id"] in place]
         found.sort(key=lambda p: (place[p["first_image_id"]], p["index_gap"]))
         edges = [tuple(p[k] for k in ("first_image_id", "second_image_id", "same_document", "confidence", "blocks", "bridgeable", "bridge")) for p in found]
         roots = union_constrained(nodes, edges, max_size)
@@ -121,7 +141,8 @@ def constrained_groups(items: DataFrame, pairs: DataFrame, max_size: int | None
         return out
 
     schema = f"sequence_id {kinds['sequence_id']}, image_id {kinds['image_id']}, sequence_index {kinds['sequence_index']}, root {kinds['image_id']}"
-    return both.groupBy("sequence_id").applyInPandas(one, schema)
+    alone = joined.where("n = 1").select("sequence_id", "image_id", "sequence_index", "root")
+    return both.groupBy("sequence_id", "root").applyInPandas(one, schema).unionByName(alone)
 
 
 def representatives(members: DataFrame, pairs: DataFrame, group: str = "root") -> DataFrame:
@@ -145,11 +166,8 @@ def cluster_records(members: DataFrame, pairs: DataFrame) -> DataFrame:
     gathered = members.groupBy("sequence_id", "root").agg(
         F.sort_array(F.collect_list(F.struct("sequence_index", "image_id"))).alias("m")
     )
-    # numbers run on over the sequences: one row a sequence is summed, the rest is ranked inside its sequence
-    counts = gathered.groupBy("sequence_id").agg(F.count("*").alias("k"))
-    before = counts.select("sequence_id", F.coalesce(F.sum("k").over(Window.orderBy("sequence_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    turn = F.row_number().over(Window.partitionBy("sequence_id").orderBy(F.get(c("m"), F.lit(0))["sequence_index"]))
-    numbered = gathered.withColumn("turn", turn).join(before, "sequence_id").withColumn("n", c("turn") + c("before"))
+    # numbers run on over the sequences
+    numbered = counted_before(gathered.withColumn("_first", F.get(c("m"), F.lit(0))["sequence_index"]), ["sequence_id", "_first"], "n").drop("_first")
     return numbered.join(representatives(members, pairs), ["sequence_id", "root"]).select(
         F.format_string("cluster_%05d", "n").alias("cluster_id"),
         "sequence_id",
@@ -159,24 +177,8 @@ def cluster_records(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def link_components(items: DataFrame, edges: DataFrame) -> DataFrame:
-    """(sequence_id, image_id, root) over edges (sequence_id, a, b), without constraints; sequence by sequence."""
-    return constrained_groups(
-        items,
-        edges.select(
-            "sequence_id", c("a").alias("first_image_id"), c("b").alias("second_image_id"), F.lit(1).alias("index_gap"),
-            F.lit(True).alias("same_document"), F.lit(True).alias("automatic_link_eligible"), F.lit(1.0).alias("confidence"),
-            F.lit(False).alias("hard_contradiction"), F.lit(None).cast("string").alias("registration_model"), F.lit(None).cast("string").alias("branch"),
-            *(F.lit(0.0).alias(m) for m in _USED),
-        ),
-    ).drop("sequence_index")
-
-
-_USED = (
-    "unmatched_ink_union_fraction", "ink_mismatch_tiles_fraction", "residual_tiles_changed_fraction", "occlusion_candidate_count", "valid_fraction",
-    "feature_overlap", "changed_fraction", "occlusion_area_fraction", "occlusion_residual_capture", "occlusion_material_fraction", "occlusion_material_median",
-    "outside_unmatched_ink_union_fraction", "outside_ink_mismatch_tiles_fraction", "inside_unmatched_ink_union_fraction", "occlusion_evidence",
-    "occlusion_ink_mismatch_capture", "occlusion_localization_contrast", "full_page_occlusion_count",
-)
+    """(sequence_id, image_id, root) over edges (sequence_id, a, b), without constraints: the first item each is connected to."""
+    return components(items, edges, ["sequence_id", "image_id"], "sequence_index")
 
 
 def group_id(image_ids: Column) -> Column:

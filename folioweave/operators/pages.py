@@ -12,8 +12,8 @@ c = F.col
 
 
 def completeness(hidden: Column) -> Column:
-    """By the share of a page that is hidden."""
-    return F.when(hidden <= 0.025, "complete").when(hidden <= 0.55, "partial").otherwise("occluded")
+    """By the share of a page that is hidden: complete, the best part that there is, or null where too little is seen to submit it."""
+    return F.when(hidden <= 0.025, "complete").when(hidden <= 0.55, "partial_best_available")
 
 
 def canonical_pages(views: DataFrame, group: str, page: str, score: str, order: str) -> DataFrame:

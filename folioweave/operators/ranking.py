@@ -9,6 +9,7 @@ from ..config import LinkConfig
 from . import decide
 from .graph import _measured
 from .pairs import common_neighbours, symmetric_neighbours
+from .ranks import ranked as numbered
 
 c = F.col
 
@@ -53,12 +54,15 @@ def rank_candidates(pairs: DataFrame, members: DataFrame, cfg: LinkConfig | None
     )
     near = common_neighbours(ranked, symmetric_neighbours(edges), "first_image_id", "second_image_id")
     level = tier(c("acceptance_conflict"), c("same_document"), c("hard_contradiction"), c("common"), c("same_component"))
-    return (
+    tiered = (
         near.withColumn("review_tier", level)
         .withColumn("priority_reason", F.element_at(F.array(*map(F.lit, REASONS)), c("review_tier") + 1))
         .withColumnRenamed("common", "common_accepted_neighbors")
-        .orderBy("review_tier", c("same_occluded_probability").desc(), "index_gap", "first_image_id", "second_image_id")
     )
+    # tiers and probabilities in one falling score, which decides the buckets; the keys themselves decide the order in them
+    likely = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("same_occluded_probability", F.lit(0.0))))
+    keys = [c("review_tier"), c("same_occluded_probability").desc(), c("index_gap"), c("first_image_id"), c("second_image_id")]
+    return numbered(tiered.withColumn("_score", (5 - c("review_tier") + likely) / 6), "_score", keys, "review_rank").drop("_score")
 
 
 def summarize(candidates: DataFrame) -> DataFrame:

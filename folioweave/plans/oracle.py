@@ -85,12 +85,12 @@ _PLACE = r"regexp_extract(replace({0}, '.jpg', ''), '^(.*?)(\d+)$', {1})"
 def _safety(branch: str) -> str:
     p, q = (_PLACE.format(x, 1) for x in ("first_path", "second_path"))
     m, n = (f"CAST({_PLACE.format(x, 2)} AS BIGINT)" for x in ("first_path", "second_path"))
-    return f"""CASE WHEN {p} <> {q} THEN 'prefixes differ'
-      WHEN abs({m} - {n}) > 12 THEN 'positions too far apart'
+    return f"""CASE WHEN {p} <> {q} THEN 'filename prefixes differ'
+      WHEN abs({m} - {n}) > 12 THEN 'filename positions too far apart'
       WHEN registration_fallback_used AND full_page_occlusion_count > 0 THEN 'full page by fallback registration'
       WHEN {branch} = 'physical_occlusion' AND (registration_fallback_used OR feature_overlap < 0.35) THEN 'occlusion without strong overlap'
       WHEN {branch} = 'physical_occlusion' AND dirty AND NOT (feature_overlap >= 0.15 OR registration_alignment_score >= 0.55)
-      THEN 'dirty exterior without strong support' END"""
+      THEN 'dirty exterior without strong registration support' END"""
 
 
 _FINAL = "WITH " + _RULES.replace("{safety}", f"CASE WHEN branch IS NOT NULL THEN {_safety('branch')} END")
@@ -158,29 +158,34 @@ _TIERED = _LINKED + _QUARTERS + """, common AS (
   JOIN member ma ON ma.image_id = first_image_id JOIN member mb ON mb.image_id = second_image_id
 ), tiers AS (
   SELECT *, CASE WHEN acceptance_conflict THEN 0 WHEN same_document THEN 5 WHEN hard_contradiction THEN 4 WHEN common > 0 THEN 1
-            WHEN same_component THEN 2 ELSE 3 END AS review_tier FROM ranked
+            WHEN same_component THEN 2 ELSE 3 END AS review_tier, """ + f"""{_logit(0)} * ({_logit(1)} * (({_EVIDENCE}) * ({_IDENTITY}))) AS so FROM ranked
 )"""
 _BOX = """boxes AS (
   SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {k} % 97 AS x0, {k} % 89 AS y0, {k} % 97 + l_quantity::BIGINT AS x1, {k} % 89 + l_linenumber * 7 AS y1 FROM lineitem)"""
-_REVIEW = """WITH member AS (
+_REVIEW = """WITH RECURSIVE member AS (
   SELECT DISTINCT l_orderkey AS cluster_id, l_linenumber AS image_id FROM lineitem
 ), event AS (
   SELECT user_id % 500 AS cluster_id, event_id AS seq,
     CASE WHEN event_id % 11 < 6 THEN 'membership' WHEN event_id % 11 < 8 THEN 'approve' WHEN event_id % 11 < 9 THEN 'dissolve'
-         WHEN event_id % 11 < 10 THEN 'irregular' ELSE 'reopen' END AS action, event_id % 5 + 1 AS image_id, event_id % 3 = 0 AS included FROM events
-), setting AS (
-  SELECT m.cluster_id, m.image_id, arg_max(CASE WHEN action = 'membership' THEN e.included ELSE action <> 'dissolve' END, seq) AS included
-  FROM member m JOIN event e ON m.cluster_id = e.cluster_id AND action <> 'irregular' AND (action <> 'membership' OR e.image_id = m.image_id) GROUP BY ALL
-), placed AS (
-  SELECT m.*, coalesce(s.included, true) AS included FROM member m LEFT JOIN setting s USING (cluster_id, image_id)
-), last AS (
-  SELECT cluster_id, arg_max(action, seq) AS action FROM event GROUP BY 1
-), sized AS (
-  SELECT cluster_id, count(*) AS image_count, count(*) FILTER (included) AS kept FROM placed GROUP BY 1
+         WHEN event_id % 11 < 10 THEN 'irregular' ELSE 'reopen' END AS action, (event_id % 5 + 1)::INTEGER AS image_id, event_id % 3 = 0 AS included FROM events
+), grouped AS (
+  SELECT cluster_id, list(image_id ORDER BY image_id) AS images FROM member GROUP BY 1
+), ordered AS (
+  SELECT e.*, row_number() OVER (PARTITION BY cluster_id ORDER BY seq) AS k FROM event e
+), fold AS (
+  SELECT cluster_id, images, 0::BIGINT AS k, 'unreviewed' AS status, []::INTEGER[] AS gone FROM grouped
+  UNION ALL
+  SELECT cluster_id, images, k, CASE action WHEN 'approve' THEN 'approved' WHEN 'dissolve' THEN 'dissolved' WHEN 'irregular' THEN 'irregular' WHEN 'reopen' THEN 'unreviewed'
+      ELSE CASE WHEN NOT known THEN status WHEN len(images) >= 2 AND len(images) - len(next) < 2 THEN 'dissolved' WHEN len(next) > 0 THEN 'edited'
+           WHEN status IN ('approved', 'irregular') THEN status ELSE 'edited' END END, next
+  FROM (
+    SELECT f.cluster_id, images, o.k, status, action, list_contains(images, image_id) AS known,
+      CASE WHEN action IN ('approve', 'reopen') THEN [] WHEN action = 'dissolve' THEN images WHEN action = 'irregular' OR NOT list_contains(images, image_id) THEN gone
+           WHEN included THEN list_filter(gone, lambda x: x <> image_id) WHEN list_contains(gone, image_id) THEN gone ELSE list_append(gone, image_id) END AS next
+    FROM fold f JOIN ordered o ON o.cluster_id = f.cluster_id AND o.k = f.k + 1)
 ), state AS (
-  SELECT cluster_id, image_count, kept, CASE action WHEN 'irregular' THEN 'irregular' WHEN 'dissolve' THEN 'dissolved' WHEN 'approve' THEN 'approved'
-    WHEN 'membership' THEN CASE WHEN image_count >= 2 AND kept < 2 THEN 'dissolved' ELSE 'edited' END ELSE 'unreviewed' END AS status
-  FROM sized LEFT JOIN last USING (cluster_id)
+  SELECT cluster_id, len(images) AS image_count, len(images) - len(gone) AS kept, status, images, gone FROM fold
+  QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY k DESC) = 1
 )"""
 _PERSON = """WITH c0 AS (
   SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, c_custkey % 3 = 0 AS two, abs(c_acctbal) % 100 / 100.0::DOUBLE AS risk FROM customer
@@ -191,6 +196,39 @@ _PERSON = """WITH c0 AS (
     CASE WHEN two THEN 2 ELSE 1 END AS n FROM c0
 )"""
 
+_REPLAY = f"""WITH {LABELS_SQL}, o AS (
+  SELECT *, doc_id // 3 AS g, row_number() OVER (PARTITION BY doc_id // 3 ORDER BY doc_id) AS i FROM scored
+), cmp AS (
+  SELECT a.g, least(a.p, b.p) AS p, a.p >= 0.2 AND NOT (a.contradiction OR b.contradiction) AS may, a.index_gap, b.registration_alignment_score AS q
+  FROM o a JOIN o b ON a.g = b.g AND b.i > a.i
+), cfg AS (
+  SELECT * FROM (SELECT unnest([0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold), (SELECT unnest([NULL, 1, 2])::INTEGER AS max_gap), (SELECT unnest([NULL, 0.25])::DOUBLE AS min_alignment)
+), e AS (
+  SELECT g, threshold, max_gap, min_alignment, count(*) AS compared, count(*) FILTER (p >= 0.5) AS flagged,
+    count(*) FILTER (may AND p >= threshold AND (max_gap IS NULL OR index_gap <= max_gap) AND (min_alignment IS NULL OR coalesce(q >= min_alignment, false))) AS edges
+  FROM cmp, cfg GROUP BY 1, 2, 3, 4
+), grp AS (
+  SELECT g, count(*) AS n, g % 3 <> 0 AS yes FROM scored JOIN (SELECT doc_id, doc_id // 3 AS g FROM scored) USING (doc_id) GROUP BY g
+), st AS (
+  -- a group has at most three members: one edge joins two, any two join all
+  SELECT cfg.threshold, cfg.max_gap, cfg.min_alignment, yes, n, n * (n - 1) // 2 AS pairs, coalesce(edges, 0) AS edges, coalesce(compared, 0) AS compared, coalesce(flagged, 0) AS flagged,
+    CASE WHEN coalesce(edges, 0) = 0 THEN 0 WHEN n = 3 AND edges >= 2 THEN 3 ELSE 1 END AS joined,
+    n - CASE WHEN coalesce(edges, 0) = 0 THEN 0 WHEN n = 3 AND edges >= 2 THEN 2 ELSE 1 END AS parts
+  FROM grp CROSS JOIN cfg LEFT JOIN e ON e.g = grp.g AND e.threshold = cfg.threshold AND e.max_gap IS NOT DISTINCT FROM cfg.max_gap AND e.min_alignment IS NOT DISTINCT FROM cfg.min_alignment
+), replayed AS (
+  SELECT threshold, max_gap, min_alignment, count(*) FILTER (yes) AS accepted_groups, count(*) FILTER (yes AND parts = 1) AS accepted_groups_recovered,
+    count(*) FILTER (NOT yes) AS rejected_groups, count(*) FILTER (NOT yes AND parts = n) AS rejected_groups_separated,
+    coalesce(sum(pairs) FILTER (yes), 0)::BIGINT AS positive_pairs, coalesce(sum(joined) FILTER (yes), 0)::BIGINT AS positive_pairs_connected,
+    coalesce(sum(pairs) FILTER (NOT yes), 0)::BIGINT AS negative_pairs, coalesce(sum(joined) FILTER (NOT yes), 0)::BIGINT AS negative_pairs_connected,
+    coalesce(sum(edges) FILTER (yes), 0)::BIGINT AS automatic_edge_tp, coalesce(sum(edges) FILTER (NOT yes), 0)::BIGINT AS automatic_edge_fp,
+    coalesce(sum(flagged) FILTER (yes), 0)::BIGINT AS candidate_tp, coalesce(sum(flagged) FILTER (NOT yes), 0)::BIGINT AS candidate_fp,
+    coalesce(sum(compared) FILTER (yes), 0)::BIGINT AS compared_positive_pairs, coalesce(sum(compared) FILTER (NOT yes), 0)::BIGINT AS compared_negative_pairs
+  FROM st GROUP BY 1, 2, 3
+), judged AS (
+  SELECT *, accepted_groups_recovered = accepted_groups AND rejected_groups_separated = rejected_groups AS perfect_group_fit,
+    automatic_edge_fp = 0 AND negative_pairs_connected = 0 AS zero_false_links FROM replayed
+)"""
+
 SQL: dict[str, str] = {
     "seq_index": "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS sequence_index FROM events",
     "band_pairs_positional": """WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
@@ -231,9 +269,10 @@ FROM q""",
     "unconstrained_components": """SELECT coalesce(lang, '') AS sequence_id, doc_id AS image_id, min(doc_id) OVER (PARTITION BY coalesce(lang, ''), text) AS root
 FROM documents WHERE text IS NOT NULL""",
     "symmetric_neighbours": _LINKED + " SELECT node, string_agg(other, ',' ORDER BY other) AS neighbours FROM both_ways GROUP BY 1",
-    "review_tiers": _TIERED + " SELECT first_image_id, second_image_id, CAST(review_tier AS INTEGER) AS review_tier, common, same_component, acceptance_conflict FROM tiers",
+    "review_tiers": _TIERED + """ SELECT first_image_id, second_image_id, CAST(review_tier AS INTEGER) AS review_tier, common, same_component, acceptance_conflict,
+  row_number() OVER (ORDER BY review_tier, so DESC, index_gap, first_image_id, second_image_id) AS review_rank FROM tiers""",
     "candidate_summary": _TIERED + """ SELECT CAST(review_tier AS INTEGER) AS review_tier, count(*) AS pairs, count(*) FILTER (acceptance_conflict) AS conflicts,
-  count(*) FILTER (hard_contradiction) AS contradictions, count(*) FILTER (registration_fallback_used) AS by_fallback
+  count(*) FILTER (hard_contradiction) AS contradictions, count(*) FILTER (common > 0) AS with_common_neighbour, count(*) FILTER (registration_fallback_used) AS by_fallback
 FROM tiers GROUP BY GROUPING SETS ((review_tier), ())""",
     "cluster_confidence_stats": _FINAL + """ SELECT sequence_id, count(*) AS pairs, round(min(confidence), 6) AS min_confidence, round(avg(confidence), 6) AS mean_confidence,
   round(max(confidence), 6) AS max_confidence, max(index_gap) AS largest_gap, count(*) FILTER (same_document) AS accepted FROM final GROUP BY 1""",
@@ -283,6 +322,10 @@ e AS (SELECT g.*, truth = 1 AS y, p >= 0.2 AND NOT contradiction AND p >= thresh
   AND (min_alignment IS NULL OR coalesce(registration_alignment_score >= min_alignment, false)) AS edge FROM g, scored)
 SELECT threshold, max_gap, min_alignment, count(*) FILTER (edge AND y) AS tp, count(*) FILTER (edge AND NOT y) AS fp, count(*) FILTER (NOT edge AND y) AS fn,
   count(*) FILTER (NOT edge AND NOT y) AS tn FROM e GROUP BY 1, 2, 3""",
+    "replay_groups": _REPLAY + " SELECT * FROM judged",
+    "replay_best": _REPLAY + """ SELECT * FROM judged ORDER BY zero_false_links DESC, CASE WHEN zero_false_links THEN accepted_groups_recovered ELSE -automatic_edge_fp END DESC,
+  CASE WHEN zero_false_links THEN positive_pairs_connected ELSE -negative_pairs_connected END DESC, CASE WHEN zero_false_links THEN automatic_edge_tp ELSE 0 END DESC,
+  automatic_edge_fp, negative_pairs_connected, max_gap IS NULL DESC, min_alignment IS NULL DESC, threshold DESC LIMIT 1""",
     "metric_comparison": """WITH e AS (SELECT o_orderstatus AS metric, avg(o_totalprice) FILTER (o_orderkey % 2 = 0) AS b, avg(o_totalprice) FILTER (o_orderkey % 2 = 1) AS a FROM orders GROUP BY 1)
 SELECT metric, round(b, 3) AS before, round(a, 3) AS after, round(a - b, 3) AS delta FROM e""",
     "manifest_contract": """WITH m AS (SELECT doc_id, doc_id // 3 AS g FROM labels WHERE quality IS NOT NULL), a AS (
@@ -317,14 +360,15 @@ SELECT l_orderkey, l_returnflag, l_linenumber, l_extendedprice FROM r WHERE k =
   (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s, (greatest(a.x1, b.x1) - least(a.x0, b.x0)) * (greatest(a.y1, b.y1) - least(a.y0, b.y0)) AS h
   FROM o a JOIN o b ON a.l_orderkey = b.l_orderkey AND b.i = a.i + 1)
 SELECT l_orderkey, a, b, round(x / (s - x), 6) AS iou, h AS hull_area FROM j""",
-    "page_completeness": "SELECT CASE WHEN l_discount * 10 - 0.2::DOUBLE <= 0.025 THEN 'complete' WHEN l_discount * 10 - 0.2::DOUBLE <= 0.55 THEN 'partial' ELSE 'occluded' END AS completeness, count(*) AS n FROM lineitem GROUP BY 1",
+    "page_completeness": "SELECT CASE WHEN l_discount * 10 - 0.2::DOUBLE <= 0.025 THEN 'complete' WHEN l_discount * 10 - 0.2::DOUBLE <= 0.55 THEN 'partial_best_available' END AS completeness, count(*) AS n FROM lineitem GROUP BY 1",
     "review_states": _REVIEW + """ SELECT cluster_id, image_count, CASE WHEN status IN ('dissolved', 'irregular') THEN 0 ELSE kept END AS kept_image_count, status,
   status = 'dissolved' AS dissolved, status <> 'unreviewed' AS reviewed FROM state""",
     "review_progress": _REVIEW + """ SELECT count(*) AS clusters, count(*) FILTER (status <> 'unreviewed') AS reviewed, count(*) FILTER (status = 'approved') AS approved,
   count(*) FILTER (status = 'edited') AS edited, count(*) FILTER (status = 'dissolved') AS dissolved, count(*) FILTER (status = 'irregular') AS irregular FROM state""",
-    "corrected_exports": _REVIEW + """, r AS (SELECT p.*, status, included AND status <> 'dissolved' AS stays FROM placed p JOIN state USING (cluster_id) WHERE status <> 'irregular')
-SELECT cluster_id, string_agg(image_id, ',' ORDER BY image_id) AS image_ids, status FROM r WHERE stays GROUP BY cluster_id, status
-UNION ALL SELECT cluster_id, image_id::VARCHAR, status FROM r WHERE NOT stays""",
+    "corrected_exports": _REVIEW + """, r AS (
+  SELECT cluster_id, status, unnest(images) AS image_id, status <> 'dissolved' AND NOT list_contains(gone, unnest(images)) AS stays FROM state WHERE status <> 'irregular')
+SELECT cluster_id::VARCHAR AS cluster_id, cluster_id AS origin_cluster_id, string_agg(image_id, ',' ORDER BY image_id) AS image_ids, status FROM r WHERE stays GROUP BY cluster_id, status
+UNION ALL SELECT format('{}__separated_{:05d}', cluster_id, row_number() OVER (ORDER BY cluster_id, image_id)), cluster_id, image_id::VARCHAR, status FROM r WHERE NOT stays""",
     "label_upsert_delete": """WITH t AS (SELECT conv_id AS case_id, turn, min(row(role, length(text))) AS v FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2),
 l AS (SELECT case_id, max(turn) AS turn FROM t GROUP BY 1) SELECT case_id, v[1] AS role, v[2]::INTEGER AS n FROM t JOIN l USING (case_id, turn) WHERE turn = 0 OR turn % 5 <> 4""",
     "source_set_difference": """SELECT DISTINCT doc_id, 'unlabelled' AS side FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)

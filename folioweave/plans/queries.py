@@ -132,12 +132,12 @@ def symmetric_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def review_tiers(spark: SparkSession, d: str) -> DataFrame:
     members = _items(spark, d).withColumn("root", F.concat_ws(":", "sequence_id", F.floor(c("sequence_index") / 4).cast("string")))
     out = ranking.rank_candidates(_linked(spark, d), members, CFG, include_accepted=True, include_unflagged=True)
-    return out.select("first_image_id", "second_image_id", "review_tier", F.size("common_accepted_neighbors").cast("long").alias("common"), "same_component", "acceptance_conflict")
+    return out.select("first_image_id", "second_image_id", "review_tier", F.size("common_accepted_neighbors").cast("long").alias("common"), "same_component", "acceptance_conflict", c("review_rank").cast("long").alias("review_rank"))
 
 
 def candidate_summary(spark: SparkSession, d: str) -> DataFrame:
     members = _items(spark, d).withColumn("root", F.concat_ws(":", "sequence_id", F.floor(c("sequence_index") / 4).cast("string")))
-    return ranking.summarize(ranking.rank_candidates(_linked(spark, d), members, CFG, include_accepted=True, include_unflagged=True)).drop("with_common_neighbour")
+    return ranking.summarize(ranking.rank_candidates(_linked(spark, d), members, CFG, include_accepted=True, include_unflagged=True))
 
 
 def cluster_confidence_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -252,8 +252,28 @@ def replay_grid(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.replay_grid(rows, grid, "p", "truth")
 
 
+CONFIGS = [(t, g, q) for t in (0.3, 0.5, 0.7, 0.9) for g in (None, 1, 2) for q in (None, 0.25)]
+
+
+def _replay(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of up to three labels of neighbouring ids, whose neighbours were compared."""
+    rows = scored_labels(spark, d).withColumn("original_cluster_id", F.floor(c("doc_id") / 3).cast("long"))
+    groups = rows.groupBy("original_cluster_id").agg(F.sort_array(F.collect_list("doc_id")).alias("image_ids")).withColumn("review_decision", F.when(c("original_cluster_id") % 3 == 0, "rejected").otherwise("accepted"))
+    near = pairs.neighbour_pairs(rows, "original_cluster_id", ["doc_id"], ["doc_id", "p", "contradiction", "index_gap", "registration_alignment_score"], 2)
+    compared = near.select(
+        "original_cluster_id", c("a.doc_id").alias("first_image_id"), c("b.doc_id").alias("second_image_id"), F.least("a.p", "b.p").alias("p"),
+        (c("a.p") >= 0.2).alias("deterministic_same_document"), F.lit(True).alias("automatic_link_eligible"), (c("a.contradiction") | c("b.contradiction")).alias("hard_contradiction"),
+        c("a.index_gap").alias("index_gap"), c("b.registration_alignment_score").alias("registration_alignment_score"),
+    )
+    return evaluate.replay_metrics(compared, groups, CONFIGS, "p")
+
+
+def replay_groups(spark: SparkSession, d: str) -> DataFrame:
+    return _replay(spark, d)
+
+
 def replay_best(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.best_replay(replay_grid(spark, d))
+    return evaluate.best_replay(_replay(spark, d))
 
 
 def metric_comparison(spark: SparkSession, d: str) -> DataFrame:
@@ -439,7 +459,7 @@ def _review(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def corrected_exports(spark: SparkSession, d: str) -> DataFrame:
     members, events = _review(spark, d)
     out = review.corrected_clusters(members, events)
-    return out.select("cluster_id", F.array_join(c("image_ids").cast("array<string>"), ",").alias("image_ids"), "status")
+    return out.select("cluster_id", "origin_cluster_id", F.array_join(c("image_ids").cast("array<string>"), ",").alias("image_ids"), "status")
 
 
 def review_states(spark: SparkSession, d: str) -> DataFrame:
@@ -500,7 +520,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         logistic_probability, evidence_ramps, constrained_clusters, representative, unconstrained_components, symmetric_neighbours, review_tiers,
         candidate_summary, cluster_confidence_stats, run_counts, reliability_ece, logloss_brier, metrics_by_split, group_metrics, group_statuses,
         size_distribution, review_budget_curve, isotonic_fit, isotonic_apply, threshold_search, grouped_split, leakage_check, truth_left_prediction,
-        replay_grid, replay_best, metric_comparison, manifest_contract, failure_categories, consensus_field, field_containment, linkage_decision,
+        replay_grid, replay_groups, replay_best, metric_comparison, manifest_contract, failure_categories, consensus_field, field_containment, linkage_decision,
         linkage_groups, linkage_flags, field_mass, record_alignment, merged_runs, embedding_cosine_band, string_similarity, gaps_and_islands,
         weighted_quantile, robust_tiles, top_residual_tiles, bbox_iou, greedy_iou_match, merged_candidates, page_completeness, corrected_exports,
         review_states, review_progress, label_upsert_delete, source_set_difference, json_flatten, inventory_counts, signature_hash,

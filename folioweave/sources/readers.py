@@ -129,11 +129,12 @@ def _fields(ddl: str) -> str:
 
 
 _RECORD = "struct<role: string, record_role: string, event_type: string, fields: map<string,string>>"
-_PAYLOAD = f"records: array<{_RECORD}>, quality: map<string,string>, source_filename: string"
-_EXTRACTION = (
-    f"struct<{_PAYLOAD}, image_stem: string, image_id: string, filename: string, parsed_response: struct<{_PAYLOAD}>, "
+#: What an extraction's payload holds, be it the object itself or its parsed_response.
+_PAYLOAD = (
+    f"struct<records: array<{_RECORD}>, source_filename: string, "
     "events: array<struct<event_type: string, event_place: map<string,string>, date_observations: array<map<string,string>>, records: array<string>>>>"
 )
+_NAMES = "struct<source_filename: string, image_stem: string, image_id: string, filename: string>"
 
 
 def json_objects(spark: SparkSession, path: str) -> DataFrame:
@@ -207,13 +208,19 @@ def _role_or_self(value: Column) -> Column:
 
 def extractions(rows: DataFrame) -> DataFrame:
     """Extractions from (source, value) rows of JSON objects; rows without an image name or a position are an error."""
-    x = rows.select("source", "value", F.from_json("value", _EXTRACTION).alias("o"))
-    payload = lambda name: F.coalesce(c(f"o.parsed_response.{name}"), c(f"o.{name}"))
-    raw = F.coalesce("o.source_filename", "o.parsed_response.source_filename", "o.image_stem", "o.image_id", "o.filename")
-    flat = F.transform(payload("records"), lambda r: F.struct(_role_or_self(F.coalesce(r["role"], r["record_role"])).alias("role"), r["event_type"].alias("event_type"), _clean(r["fields"]).alias("fields")))
-    nested = F.flatten(F.transform(c("o.events"), _flatten))
+    own, parsed = c("value"), F.get_json_object("value", "$.parsed_response")
+    payload = F.when(F.ltrim(parsed).startswith("{"), parsed).otherwise(own)
+    x = rows.select("source", "value", payload.alias("payload"), F.from_json("value", _NAMES).alias("o")).withColumn("p", F.from_json("payload", _PAYLOAD))
+    named = lambda *names: F.coalesce(*(F.nullif(n, F.lit("")) for n in names))
+    raw = named(c("o.source_filename"), c("p.source_filename"), c("o.image_stem"), c("o.image_id"), c("o.filename"))
+    flat = F.transform("p.records", lambda r: F.struct(_role_or_self(F.coalesce(r["role"], r["record_role"])).alias("role"), r["event_type"].alias("event_type"), _clean(r["fields"]).alias("fields")))
+    nested = F.flatten(F.transform(c("p.events"), _flatten))
     series, index = series_and_index(c("image_id"))
-    numbers = F.map_filter(F.transform_values(payload("quality"), lambda k, v: v.try_cast("double")), lambda k, v: v.isNotNull())
+    # only JSON numbers (and truth values, as 1 and 0) are qualities; text that looks like a number is none
+    told = F.nullif(F.get_json_object("payload", "$.quality"), F.lit("{}"))
+    quality = F.try_parse_json(F.coalesce(told, F.get_json_object("value", "$.quality"))).try_cast("map<string,variant>")
+    number = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.lit(None).cast("double")).otherwise(F.coalesce(F.try_variant_get(v, "$", "double"), F.try_variant_get(v, "$", "boolean").cast("double")))
+    numbers = F.map_filter(F.transform_values(quality, lambda k, v: number(v)), lambda k, v: v.isNotNull())
     out = x.select(canonical_id(raw).alias("image_id"), F.coalesce(flat, nested, F.array().cast("array<struct<role:string,event_type:string,fields:map<string,string>>>")).alias("records"), F.coalesce(numbers, F.create_map().cast("map<string,double>")).alias("quality"), "source", (F.trim("value") != "").alias("_object"))
     out = out.select("image_id", series.alias("sequence_key"), index.alias("sequence_index"), "records", "quality", "source", "_object")
     # a filter on image_id may be evaluated before the one that drops blank lines, so these must not count as errors

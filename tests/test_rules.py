@@ -60,7 +60,7 @@ def test_thresholds(decided, n):
 
 
 def test_safety_keeps_far_and_foreign_names_for_review(spark):
-    names = [("p001.jpg", "p013.jpg", None), ("p001.jpg", "p014.jpg", "positions too far apart"), ("p001.jpg", "q002.jpg", "prefixes differ"), ("001.jpg", "q002.jpg", None)]
+    names = [("p001.jpg", "p013.jpg", None), ("p001.jpg", "p014.jpg", "filename positions too far apart"), ("p001.jpg", "q002.jpg", "filename prefixes differ"), ("001.jpg", "q002.jpg", None)]
     rows = spark.createDataFrame([CLEAN | {"a": a, "b": b} for a, b, _ in names])
     got = {(r["a"], r["b"]): r for r in decide.decide(rows, LinkConfig(), ("a", "b")).collect()}
     for a, b, reason in names:
