@@ -31,7 +31,7 @@ from .components import components, lowest
 #: Links, or cells, that a task holds before it reduces them.
 HELD = 1_000_000
 #: A cell is counted by a task from so many rows out of ``HELD`` on, and is split in blocks of about so many rows.
-COUNTED, BLOCK = 16, 20_000
+COUNTED, BLOCK = 16, 2_000
 
 Near = Callable[[str, str], Column]
 
@@ -85,19 +85,20 @@ def _hot(placed: DataFrame) -> DataFrame:
     return found.where(F.col("n") > BLOCK).select("cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
 
 
-def linked(items: DataFrame, payload: list[str], near: Near, few: Callable[[DataFrame], DataFrame], many: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame] | None = None, extra: DataFrame | None = None) -> DataFrame:
+def linked(items: DataFrame, payload: list[str], near: Near, few: Callable[[DataFrame], DataFrame], many: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame] | None = None, extra: DataFrame | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
     """(node, root) of every item that is not the lowest id of its class.
 
     ``items`` has a long ``id`` and the payload; rows of one id are one item; ``few`` and ``many`` add an array of cells named ``cells`` to
     such rows and keep their columns. ``check`` takes pairs (a, b) for which ``near`` holds and returns those that are links;
-    ``extra`` are pairs that are links anyway.
+    ``extra`` are pairs that are links anyway;
+    ``carried`` are columns that only ``few`` and ``many`` read.
     """
     check = check or (lambda pairs: pairs)
 
     def edges(pairs: DataFrame) -> DataFrame:
         return forest(check(pairs))
 
-    items = cut(items.select("id", *payload))
+    items = cut(items.select("id", *payload, *carried))
     wide = few(items).select(F.explode("cells").alias("cell"), "id", *payload)
     low = wide.groupBy("cell").agg(F.min("id").alias("lowest_id"), F.count("*").alias("n")).where("n > 1").select("cell", "lowest_id")
     star = wide.join(low, "cell").where("id != lowest_id").groupBy("id", "lowest_id").agg(F.first(F.struct(*payload)).alias("own"))
@@ -106,7 +107,7 @@ def linked(items: DataFrame, payload: list[str], near: Near, few: Callable[[Data
     first = edges(star.select(F.col("lid").alias("a"), F.col("rid").alias("b")))
     first = cut(first if extra is None else first.union(extra))
     roots = components(first)
-    rooted = items.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), *payload)
+    rooted = items.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").select("id", F.coalesce("root", "id").alias("root"), *payload, *carried)
     rooted = cut(rooted)
     rows = many(rooted).select(F.explode("cells").alias("cell"), "id", "root", *payload)
     hot = cut(_hot(rows))
