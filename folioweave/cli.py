@@ -1,4 +1,4 @@
-"""Command line: cluster, rank, link and report over Parquet tables."""
+"""Command line: cluster captures or tables of measured pairs, rank candidates, link extractions."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from .sources import readers
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="folioweave", description=__doc__)
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for name, takes in (("cluster", ("images", "pairs", "out")), ("rank", ("result", "out")), ("link", ("extractions", "out"))):
+    for name, takes in (("cluster", ("images", "pairs", "out")), ("directory", ("folder", "out")), ("rank", ("result", "out")), ("link", ("extractions", "out"))):
         verb = verbs.add_parser(name)
         for x in takes:
             verb.add_argument(x)
@@ -22,6 +22,8 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     if a.verb == "cluster":
         api.write_result(api.cluster(spark.read.parquet(a.images), spark.read.parquet(a.pairs)), a.out)
+    elif a.verb == "directory":
+        api.write_result(api.cluster_directory(spark, a.folder), a.out)
     elif a.verb == "rank":
         api.rank_candidates(api.read_result(spark, a.result)).write.mode("overwrite").json(a.out)
     else:

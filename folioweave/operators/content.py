@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-
 import numpy as np
 
 from ..config import LinkConfig
@@ -387,7 +386,8 @@ def coarse_change(far: np.ndarray, core: np.ndarray, cfg: LinkConfig) -> dict[st
     """How much of what both images show has changed, in pixels and coarse tiles."""
     changed = (far > cfg.change_threshold) & core
     shares = [changed[ys, xs][core[ys, xs]].mean() for _, _, ys, xs in _tiles(core.shape, cfg.tile_rows, cfg.tile_columns) if core[ys, xs].mean() >= 0.5]
-    sizes = np.bincount(parts(spread(shrink(changed, 2), 2)).ravel())[1:]
+    reach = max(7, round(min(core.shape) * 0.018) // 2 * 2 + 1) // 2
+    sizes = np.bincount(parts(shrink(spread(spread(shrink(changed, 2), 2), reach), reach)).ravel())[1:]
     share = changed.sum() / max(core.sum(), 1)
     return {
         "valid_fraction": float(core.mean()), "changed_fraction": share, "stable_fraction": 1 - share,
@@ -412,12 +412,21 @@ def exposed_alike(still: np.ndarray, aligned: np.ndarray, core: np.ndarray, cfg:
     if calm.sum() < 1000:
         return shifted
     texture = np.hypot(*steepness(a, 3, 10))
-    use = calm & (texture >= np.percentile(texture[calm], 55)) & (a > 8) & (a < 247) & (b > 8) & (b < 247)
-    if use.sum() < 500:
+    use = calm & (texture >= np.percentile(texture[calm], 55)) & (a > 15) & (a < 248) & (b > 15) & (b < 248)
+    if use.sum() < 1000:
         return shifted
     x, y = b[use].astype(float), a[use].astype(float)
-    scale = float(np.clip(((x - x.mean()) * (y - y.mean())).mean() / max(x.var(), 1e-6), 0.75, 1.35))
-    return np.clip(b * scale + np.median(y - scale * x), 0, 255)
+
+    def fitted(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+        scale = float(np.clip(((x - x.mean()) * (y - y.mean())).mean() / max(x.var(), 1e-6), 0.75, 1.35))
+        return scale, float(np.median(y - scale * x))
+
+    scale, offset = fitted(x, y)
+    off = np.abs(y - scale * x - offset)
+    near = off <= np.quantile(off, 0.80)
+    if near.sum() >= 500:
+        scale, offset = fitted(x[near], y[near])
+    return np.clip(b * scale + offset, 0, 255)
 
 
 def measure(still: np.ndarray, aligned: np.ndarray, valid: np.ndarray, cfg: LinkConfig) -> dict[str, float]:

@@ -260,25 +260,28 @@ def fit_isotonic(rows: DataFrame, score: str, truth: str) -> DataFrame:
     rise from block to block, by one task. Blocks are few where truths rise with the score at all.
     """
 
+    def in_order(batches):
+        # of tied scores the lower truths come first
+        points = [x for batch in batches for x in batch[["low", "high", "hits", "n"]].itertuples(index=False)]
+        return sorted(points, key=lambda x: (x.low, x.high, x.hits / x.n))
+
     def pool(batches):
         import pandas as pd
 
-        points = [x for batch in batches for x in batch[["low", "high", "hits", "n"]].itertuples(index=False)]
-        yield pd.DataFrame(pooled(sorted(points)), columns=["low", "high", "hits", "n"])
+        yield pd.DataFrame(pooled(in_order(batches)), columns=["low", "high", "hits", "n"])
 
     def fit(batches):
         import pandas as pd
 
-        points = [x for batch in batches for x in batch[["low", "high", "hits", "n"]].itertuples(index=False)]
         knots: list[tuple[float, float]] = []
-        for low, high, hits, n in pooled(sorted(points)):
+        for low, high, hits, n in pooled(in_order(batches)):
             knots += [k for x in dict.fromkeys((low, high)) if (k := (x, hits / n))]
         yield pd.DataFrame({"knot": range(len(knots)), "score": [k[0] for k in knots], "value": [k[1] for k in knots]})
 
-    s = c(score).cast("double")
-    counted = rows.where(s.isNotNull() & c(truth).isNotNull()).groupBy(s.alias("low")).agg(F.sum(c(truth).cast("double")).alias("hits"), F.count("*").cast("double").alias("n"))
+    s, t = c(score).cast("double"), c(truth).cast("double")
+    counted = rows.where(s.isNotNull() & t.isNotNull()).groupBy(s.alias("low"), t.alias("truth")).agg(F.count("*").cast("double").alias("n"))
     block = "low double, high double, hits double, n double"
-    ranges = counted.select("low", c("low").alias("high"), "hits", "n").repartitionByRange("low").mapInPandas(pool, block)
+    ranges = counted.select("low", c("low").alias("high"), (c("truth") * c("n")).alias("hits"), "n").repartitionByRange("low").mapInPandas(pool, block)
     return ranges.repartition(1).mapInPandas(fit, "knot int, score double, value double")
 
 
