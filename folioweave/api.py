@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .config import LinkConfig
 from .materialize import materialize
-from .operators import decide, graph, images as captures, probability, ranking
+from .operators import components, crops, decide, graph, pairs as near, probability, ranking
+from .operators import images as captures
 from .sources import readers, schemas, writers
 
 #: What a pair is that could not be registered.
@@ -66,6 +67,37 @@ def cluster_images(spark: SparkSession, paths: list[str], sequence: str = ".", c
     return cluster_files(images, _contents(spark, list(paths), images), cfg)
 
 
+def crop_groups(images: DataFrame, contents: DataFrame, groups: DataFrame | None = None, cfg: LinkConfig | None = None, settings: crops.CropSettings | None = None) -> dict[str, DataFrame]:
+    """members (group_id, image_id, position), edges and submissions; groups (group_id, image_id) are given, or found by the edges of neighbours."""
+    cfg, s = cfg or LinkConfig(), settings or crops.CropSettings()
+    loaded = materialize(captures.load_images(contents, LinkConfig(**cfg.as_dict() | {"max_working_dimension": s.max_dimension, "max_features": s.features})))
+    if groups is None:
+        placed = images.withColumn("_in", F.col("sequence_id"))
+    else:
+        placed = images.join(groups.select("image_id", F.col("group_id").alias("_in")), "image_id")
+    pairs = near.neighbour_pairs(placed, "_in", ["sequence_index", "image_id"], ["image_id"], s.window)
+    edges = materialize(crops.crop_edges(pairs.select(F.col("a.image_id").alias("a"), F.col("b.image_id").alias("b")), loaded, s))
+    if groups is None:
+        of = components.components(placed, edges.join(placed.select(F.col("image_id").alias("a"), "sequence_id"), "a"), ["sequence_id", "image_id"], "sequence_index")
+        placed = placed.join(of.select("image_id", F.col("root").alias("group_id")), "image_id")
+    else:
+        placed = placed.withColumn("group_id", F.col("_in"))
+    members = placed.select("group_id", "image_id", F.col("sequence_index").alias("position"))
+    return {"members": members, "edges": edges, "submissions": crops.by_bucket(crops.recover_crops(members, loaded, edges, cfg, s))}
+
+
+def crop_directory(spark: SparkSession, folder: str, **options) -> dict[str, DataFrame]:
+    """``crop_groups`` of the images below a folder."""
+    images = readers.scan_images(spark, folder)
+    return crop_groups(images, _contents(spark, folder, images), **options)
+
+
+def crop_result(spark: SparkSession, result: dict[str, DataFrame], folder: str, **options) -> dict[str, DataFrame]:
+    """``crop_groups`` of the clusters of a result, whose images lie below a folder."""
+    groups = result["clusters"].select(F.col("cluster_id").alias("group_id"), F.explode("image_ids").alias("image_id"))
+    return crop_groups(result["images"], _contents(spark, folder, result["images"]), groups, **options)
+
+
 def rank_candidates(result: dict[str, DataFrame], cfg: LinkConfig | None = None, **flags: bool) -> DataFrame:
     members = result["clusters"].select(F.explode("image_ids").alias("image_id"), F.col("cluster_id").alias("root"))
     return ranking.rank_candidates(result["pairs"], members, cfg, **flags)
@@ -79,4 +111,4 @@ def read_result(spark, folder: str) -> dict[str, DataFrame]:
     return writers.read_tables(spark, folder)
 
 
-__all__ = ["LinkConfig", "cluster", "cluster_directory", "cluster_files", "cluster_images", "rank_candidates", "read_result", "readers", "schemas", "write_result"]
+__all__ = ["LinkConfig", "cluster", "cluster_directory", "cluster_files", "cluster_images", "crop_directory", "crop_groups", "crop_result", "rank_candidates", "read_result", "readers", "schemas", "write_result"]
