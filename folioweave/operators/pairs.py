@@ -1,10 +1,12 @@
 """Candidate pairs inside ordered sequences.
 
 With ``max_gap`` k every item meets its next k neighbours, so a sequence of n
-items gives at most k*n pairs. The positional form takes them from window leads:
-one shuffle on the sequence, no join. The form by index gaps is an equi-join on
-the sequence with buckets of k+1 indexes, so that a long sequence never meets
-itself as a whole.
+items gives at most k*n pairs. The positional form numbers all items in the order
+of sequence and place (see ``ranks.counted_before``) and takes leads inside blocks
+of that numbering, each with the k items that follow it; so a sequence that holds
+most of the table is spread over as many tasks as any others. The form by index
+gaps is an equi-join on the sequence with buckets of k+1 indexes, so that a long
+sequence never meets itself as a whole.
 """
 
 from __future__ import annotations
@@ -14,18 +16,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import counted_before
+
+#: Rows of a block of the numbering, which one task sorts.
+BLOCK = 50_000
+
+
+def _placed(items: DataFrame, sequence: str, order: Sequence[str], payload: Column) -> DataFrame:
+    """(s, row, n): the payload of every item, numbered from 1 in the order of sequence and place."""
+    by = [f"o{i}" for i in range(len(order))]
+    return counted_before(items.select(F.col(sequence).alias("s"), *(F.col(o).alias(k) for o, k in zip(order, by)), payload.alias("row")), ["s", *by], "n").select("s", "row", "n")
+
 
 def sequence_index(items: DataFrame, sequence: str, order: Sequence[str], name: str = "sequence_index") -> DataFrame:
     """Positions from 0 in each sequence."""
-    return items.withColumn(name, F.row_number().over(Window.partitionBy(sequence).orderBy(*order)) - 1)
+    placed = _placed(items, sequence, order, F.struct(*(F.col(f"`{x}`") for x in items.columns)))
+    first = placed.groupBy(F.col("s").alias("of")).agg(F.min("n").alias("first"))
+    return placed.join(first, F.col("s").eqNullSafe(F.col("of"))).select("row.*", (F.col("n") - F.col("first")).cast("int").alias(name))
 
 
 def neighbour_pairs(items: DataFrame, sequence: str, order: Sequence[str], columns: Sequence[str], max_gap: int = 3) -> DataFrame:
     """(sequence, a, b, gap): a and b are structs of ``columns``; b comes gap places after a."""
-    window = Window.partitionBy(sequence).orderBy(*order)
-    row = F.struct(*columns)
-    near = items.select(sequence, row.alias("a"), F.array(*(F.lead(row, k).over(window) for k in range(1, max_gap + 1))).alias("near"))
-    return near.select(sequence, "a", F.posexplode("near").alias("at", "b")).where("b is not null").select(sequence, "a", "b", (F.col("at") + 1).alias("gap"))
+    own, before = F.floor((F.col("n") - 1) / BLOCK), F.floor((F.col("n") - 1 - max_gap) / BLOCK)
+    blocks = F.filter(F.array_distinct(F.array(own, before)), lambda b: b >= 0)
+    placed = _placed(items, sequence, order, F.struct(*columns)).withColumn("own", own).select("s", "row", "n", "own", F.explode(blocks).alias("block"))
+    window = Window.partitionBy("block").orderBy("n")
+    at = F.struct("s", "row")
+    near = placed.select("s", "own", "block", F.col("row").alias("a"), F.array(*(F.lead(at, k).over(window) for k in range(1, max_gap + 1))).alias("near")).where("own = block")
+    pairs = near.select(F.col("s").alias(sequence), "a", F.posexplode("near").alias("at", "x")).where(F.col("x").isNotNull() & F.col("x.s").eqNullSafe(F.col(sequence)))
+    return pairs.select(sequence, "a", F.col("x.row").alias("b"), (F.col("at") + 1).alias("gap"))
 
 
 def index_pairs(items: DataFrame, sequence: str, index: str, key: str, max_gap: int = 3) -> DataFrame:

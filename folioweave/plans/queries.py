@@ -41,13 +41,16 @@ def band_pairs_sparse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_metrics(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "source", F.array_distinct(F.split(F.lower("text"), " ")).alias("w"), F.length("text").alias("n"))
-    near = pairs.neighbour_pairs(docs, "source", ["doc_id"], ["doc_id", "w", "n"], 1)
-    both = F.size(F.array_intersect("a.w", "b.w"))
-    either = F.size("a.w") + F.size("b.w") - both
+    docs = table(spark, d, "documents")
+    ids = pairs.neighbour_pairs(docs, "source", ["doc_id"], ["doc_id"], 1).select(c("a.doc_id").alias("a"), c("b.doc_id").alias("b"))
+    # the words follow the pairs, so that no sort carries them
+    side = lambda x: docs.select(c("doc_id").alias(x), F.array_distinct(F.split(F.lower("text"), " ")).alias(f"{x}w"), F.length("text").alias(f"{x}n"))
+    near = ids.join(side("a"), "a").join(side("b"), "b")
+    both = F.size(F.array_intersect("aw", "bw"))
+    either = F.size("aw") + F.size("bw") - both
     return near.select(
-        c("a.doc_id").alias("a"), c("b.doc_id").alias("b"), F.round(numeric.ratio(both, either), 6).alias("jaccard"),
-        F.round(numeric.ratio(F.least("a.n", "b.n"), F.greatest("a.n", "b.n")), 6).alias("length_ratio"),
+        "a", "b", F.round(numeric.ratio(both, either), 6).alias("jaccard"),
+        F.round(numeric.ratio(F.least("an", "bn"), F.greatest("an", "bn")), 6).alias("length_ratio"),
     )
 
 

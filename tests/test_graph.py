@@ -67,3 +67,19 @@ def test_transforms_follow_the_first_path():
     move = lambda dx: [1.0, 0, dx, 0, 1, 0, 0, 0, 1]
     out = graph.transforms_to_anchor(pd.DataFrame({"a": [1, 3], "b": [2, 2], "m": [move(5), move(2)]}), 1)
     assert out[2][0, 2] == 5 and out[3][0, 2] == 3
+
+
+@pytest.mark.parametrize("block", [4, 50_000])
+def test_neighbours_equal_a_loop_whatever_the_blocks(spark, monkeypatch, block):
+    """One sequence holds most rows; there are short ones, one without a name, and ties in the order."""
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    rows = [("hot" if i % 3 else None if i % 2 else f"s{i % 15}", i // 2, i) for i in range(90)]
+    items = spark.createDataFrame(rows, "s string, o int, k int").repartition(7)
+    by: dict = {}
+    for s, o, k in sorted(rows, key=lambda r: (r[1], r[2])):
+        by.setdefault(s, []).append(k)
+    got = {(r["s"], r["a"]["k"], r["b"]["k"], r["gap"]) for r in pairs.neighbour_pairs(items, "s", ["o", "k"], ["k"], 3).collect()}
+    assert got == {(s, v[i], v[j], j - i) for s, v in by.items() for i in range(len(v)) for j in range(i + 1, min(i + 4, len(v)))}
+    index = {(r["s"], r["k"]): r["sequence_index"] for r in pairs.sequence_index(items, "s", ["o", "k"]).collect()}
+    assert index == {(s, k): i for s, v in by.items() for i, k in enumerate(v)}
+    assert pairs.neighbour_pairs(items.limit(0), "s", ["o"], ["k"]).count() == 0
