@@ -263,20 +263,25 @@ def phase_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
 def rigid_alignment(a: np.ndarray, b: np.ndarray, start: np.ndarray, rounds: int, epsilon: float) -> tuple[float, np.ndarray] | None:
     """(correlation, map from a to b): Gauss-Newton steps of the enhanced correlation over an angle and a shift; null where they diverge."""
     gy, gx = np.gradient(b)
-    y, x = np.mgrid[: a.shape[0], : a.shape[1]].astype(np.float64)
+    stack = np.stack([b, gx, gy]).astype(np.float32)
+    y, x = np.mgrid[: a.shape[0], : a.shape[1]].astype(np.float32)
+    h, w = b.shape
     angle, tx, ty = float(np.arctan2(start[1, 0], start[0, 0])), float(start[0, 2]), float(start[1, 2])
     last = -1.0
     for _ in range(rounds):
         cos, sin = np.cos(angle), np.sin(angle)
         m = np.array([[cos, -sin, tx], [sin, cos, ty], [0, 0, 1]])
-        back = np.linalg.inv(m)
-        seen, valid = pixels.warp(b, back, a.shape)
+        u, v = np.float32(cos) * x - np.float32(sin) * y + np.float32(tx), np.float32(sin) * x + np.float32(cos) * y + np.float32(ty)
+        valid = (u >= 0) & (v >= 0) & (u < w - 1) & (v < h - 1)
         if valid.sum() < 100:
             return None
-        dx, dy = pixels.warp(gx, back, a.shape)[0][valid], pixels.warp(gy, back, a.shape)[0][valid]
-        t, s = a[valid] - a[valid].mean(), seen[valid] - seen[valid].mean()
+        u, v = u[valid], v[valid]
+        i, j = v.astype(np.int32), u.astype(np.int32)
+        p, q = v - i, u - j
+        seen, dx, dy = (1 - p) * ((1 - q) * stack[:, i, j] + q * stack[:, i, j + 1]) + p * ((1 - q) * stack[:, i + 1, j] + q * stack[:, i + 1, j + 1])
+        t, s = a[valid] - a[valid].mean(), seen - seen.mean()
         correlation = float(t @ s / max(np.sqrt((t @ t) * (s @ s)), 1e-12))
-        jacobian = np.stack([dx * (-sin * x[valid] - cos * y[valid]) + dy * (cos * x[valid] - sin * y[valid]), dx, dy], axis=1)
+        jacobian = np.stack([dx * (-sin * x[valid] - cos * y[valid]) + dy * (cos * x[valid] - sin * y[valid]), dx, dy], axis=1).astype(np.float64)
         if abs(correlation - last) < epsilon:
             return correlation, m
         last = correlation

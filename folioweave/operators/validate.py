@@ -62,7 +62,7 @@ def subtype_problems(rows: DataFrame, groups: DataFrame) -> DataFrame:
         raise ValueError(f"the sidecar lacks {', '.join(lacking)}")
     both = rows.withColumn("_row", F.lit(True)).join(groups.select(key, "image_ids"), key, "full")
     text = {x: F.trim(F.coalesce(c(x), F.lit(""))) for x in SUBTYPE_COLUMNS}
-    listed = {x: F.transform(F.from_json(text[x], "array<string>"), F.trim) for x in ("member_image_ids_json", *(f"{r}_image_ids_json" for r in ROLES))}
+    listed = {x: F.transform(F.from_json(text[x], "array<string>"), lambda v: F.trim(v)) for x in ("member_image_ids_json", *(f"{r}_image_ids_json" for r in ROLES))}
     both = both.select(key, "_row", "image_ids", *(v.alias(x) for x, v in (text | listed).items()), (F.lower(text["material_occlusion_metric_included"]).isin("true", "1", "yes")).alias("_material"))
     members, material = c("image_ids"), c("_material")
     subtype, relation, overlay = c("occlusion_subtype"), c("visual_relationship_category"), c("visual_overlay_category")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import checks
 from .captures import IMAGES_SQL, LABELS_SQL, PAIRS_SQL
 
 #: CTEs over ``pairs``: the rules as columns, one step on the next.
@@ -382,4 +383,4 @@ g AS (SELECT name, min(path) AS path, count(DISTINCT h) AS kinds, count(*) AS n
 SELECT w.name, path, CASE WHEN n IS NULL THEN 'missing' WHEN kinds > 1 THEN 'conflict' WHEN n > 1 THEN 'duplicate_same' ELSE 'found' END AS status FROM w LEFT JOIN g ON w.name = g.name""",
     "canonical_names": r"""WITH n AS (SELECT page_id, string_split(url || '-' || page_id, '/')[-1] AS s FROM pages)
 SELECT page_id, s AS image_id, nullif(regexp_extract(s, '^(.+)-(\d+)$', 1), '') AS series, TRY_CAST(nullif(regexp_extract(s, '^(.+)-(\d+)$', 2), '') AS BIGINT) AS position FROM n""",
-}
+} | checks.SQL

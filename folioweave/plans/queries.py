@@ -12,7 +12,7 @@ from ..functions import geometry, numeric, text
 from ..materialize import materialize
 from ..operators import decide, evaluate, graph, linkage, pages, pairs, probability, ranking, review
 from ..sources import readers, writers
-from . import captures
+from . import captures, checks
 from .captures import images, scored_labels, table
 
 c = F.col
@@ -529,4 +529,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         review_states, review_progress, label_upsert_delete, source_set_difference, json_flatten, inventory_counts, signature_hash,
         library_resolution, canonical_names,
     )
-}
+} | checks.QUERIES
