@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -352,14 +353,20 @@ def merge_record_lists(runs: Sequence[Sequence[Mapping]], least: float = 0.55) -
 
 def merge_runs(runs: DataFrame) -> DataFrame:
     """Extractions with a column ``source``, merged by image: records by consensus, quality by mean, sources sorted."""
-    merge = F.udf(lambda lists: merge_record_lists([_plain(x) for x in lists]), runs.schema["records"].dataType)
+    kind = runs.schema["records"].dataType
+
+    @F.pandas_udf(kind)
+    def merge(lists: pd.Series) -> pd.Series:
+        return pd.Series([merge_record_lists([_plain(x["records"]) for x in one]) for one in lists])
+
+    # in order of source; records hold maps, which have no order of their own
+    before = lambda x, y, *keys: reduce(lambda rest, k: F.when(x[k] < y[k], -1).when(x[k] > y[k], 1).otherwise(rest), reversed(keys), F.lit(0))
+    each = F.array_sort(F.collect_list(F.struct("source", F.to_json("records").alias("j"), "records")), lambda x, y: before(x, y, "source", "j"))
     lists = runs.groupBy("image_id").agg(
         F.first("sequence_key").alias("sequence_key"), F.first("sequence_index").alias("sequence_index"), F.count("*").alias("run_count"),
-        F.sort_array(F.collect_set("source")).alias("run_sources"),
-        F.transform(F.sort_array(F.collect_list(F.struct("source", F.to_json("records").alias("j"), F.struct("records").alias("r")).dropFields("r"))), lambda x: x["j"]).alias("_json"),
+        F.sort_array(F.collect_set("source")).alias("run_sources"), F.transform(each, lambda x: F.struct(x["records"].alias("records"))).alias("_lists"),
     )
-    kinds = runs.schema["records"].dataType.simpleString()
-    merged = lists.withColumn("records", merge(F.transform("_json", lambda j: F.from_json(j, kinds)))).drop("_json")
+    merged = lists.withColumn("records", merge("_lists")).drop("_lists")
     quality = (
         runs.select("image_id", F.explode("quality").alias("k", "v")).groupBy("image_id", "k").agg(F.avg("v").alias("v"))
         .groupBy("image_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("quality"))
