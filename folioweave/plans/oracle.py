@@ -230,6 +230,11 @@ _REPLAY = f"""WITH {LABELS_SQL}, o AS (
     automatic_edge_fp = 0 AND negative_pairs_connected = 0 AS zero_false_links FROM replayed
 )"""
 
+def _box(key: str) -> str:
+    return f"""SELECT l_orderkey AS k, l_linenumber AS n, l_extendedprice AS price, {key} % 97 AS x0, {key} % 89 AS y0,
+      {key} % 97 + CAST(l_quantity AS BIGINT) AS x1, {key} % 89 + l_linenumber * 7 AS y1 FROM lineitem"""
+
+
 SQL: dict[str, str] = {
     "seq_index": "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS sequence_index FROM events",
     "band_pairs_positional": """WITH p AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)
@@ -383,4 +388,32 @@ g AS (SELECT name, min(path) AS path, count(DISTINCT h) AS kinds, count(*) AS n
 SELECT w.name, path, CASE WHEN n IS NULL THEN 'missing' WHEN kinds > 1 THEN 'conflict' WHEN n > 1 THEN 'duplicate_same' ELSE 'found' END AS status FROM w LEFT JOIN g ON w.name = g.name""",
     "canonical_names": r"""WITH n AS (SELECT page_id, string_split(url || '-' || page_id, '/')[-1] AS s FROM pages)
 SELECT page_id, s AS image_id, nullif(regexp_extract(s, '^(.+)-(\d+)$', 1), '') AS series, TRY_CAST(nullif(regexp_extract(s, '^(.+)-(\d+)$', 2), '') AS BIGINT) AS position FROM n""",
+    "greedy_iou_match": f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, x0, y0, x1, y1) AS i FROM ({_box('l_partkey')})),
+a AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, x0, y0, x1, y1) AS j FROM ({_box('l_suppkey')})),
+common AS (
+  SELECT e.k, i, j, e.n AS en, a.n AS an, greatest(0, least(e.x1, a.x1) - greatest(e.x0, a.x0)) * greatest(0, least(e.y1, a.y1) - greatest(e.y0, a.y0)) AS shared,
+    (e.x1 - e.x0) * (e.y1 - e.y0) + (a.x1 - a.x0) * (a.y1 - a.y0) AS sum FROM e JOIN a ON e.k = a.k
+), v AS (SELECT *, shared / CAST(sum - shared AS DOUBLE) AS iou FROM common
+), best AS (SELECT k, i, list(j ORDER BY iou DESC, j) AS js FROM v GROUP BY k, i
+), taken AS (
+  SELECT k, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(0 AS BIGINT) AS j FROM (SELECT DISTINCT k FROM e)
+  UNION ALL
+  SELECT t.k, b.i, list_append(used, list_filter(js, lambda x: NOT list_contains(used, x))[1]), list_filter(js, lambda x: NOT list_contains(used, x))[1]
+  FROM taken t JOIN best b ON b.k = t.k AND b.i = t.i + 1
+)
+SELECT v.k AS l_orderkey, en AS expected_n, an AS actual_n, round(iou, 6) AS iou FROM taken t JOIN v ON v.k = t.k AND v.i = t.i AND v.j = t.j""",
+    "merged_candidates": f"""WITH RECURSIVE c AS (
+  SELECT k AS group_id, CAST(n % 2 AS VARCHAR) AS side, x0, y0, x1, y1, price AS confidence,
+    row_number() OVER (PARTITION BY k ORDER BY price DESC, CAST(n % 2 AS VARCHAR), x0, y0, x1, y1) AS i FROM ({_box('l_suppkey')})
+), clash AS (
+  SELECT a.group_id, a.i, list(b.i) AS js FROM c a JOIN c b ON a.group_id = b.group_id AND a.side = b.side AND b.i < a.i
+  WHERE greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))
+    / CAST(least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS DOUBLE) >= 0.55 GROUP BY 1, 2
+), told AS (SELECT c.group_id, c.i, coalesce(js, CAST([] AS BIGINT[])) AS js FROM c LEFT JOIN clash USING (group_id, i)
+), seen AS (
+  SELECT group_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS kept, false AS keep FROM (SELECT DISTINCT group_id FROM c)
+  UNION ALL
+  SELECT s.group_id, t.i, CASE WHEN list_has_any(kept, js) THEN kept ELSE list_append(kept, t.i) END, NOT list_has_any(kept, js) FROM seen s JOIN told t ON t.group_id = s.group_id AND t.i = s.i + 1
+)
+SELECT c.group_id, side, x0, y0, x1, y1, confidence FROM seen JOIN c USING (group_id, i) WHERE keep""",
 } | checks.SQL
