@@ -50,6 +50,27 @@ def multiply(a: Column, b: Column) -> Column:
     return F.array(*(F.array(*(at(a, i, 0) * at(b, 0, j) + at(a, i, 1) * at(b, 1, j) + at(a, i, 2) * at(b, 2, j) for j in range(3))) for i in range(3)))
 
 
+def inverse(m: Column) -> Column:
+    """The inverse of a 3x3 transform by cofactors; null where there is none."""
+    at = lambda i, j: F.get(F.get(m, F.lit(i % 3)), F.lit(j % 3))
+    cofactor = lambda i, j: at(i + 1, j + 1) * at(i + 2, j + 2) - at(i + 1, j + 2) * at(i + 2, j + 1)
+    whole = at(0, 0) * cofactor(0, 0) + at(0, 1) * cofactor(0, 1) + at(0, 2) * cofactor(0, 2)
+    return F.when(whole != 0, F.array(*(F.array(*(cofactor(j, i) / whole for j in range(3))) for i in range(3))))
+
+
+def polygon_area(points: Column) -> Column:
+    """The area of an array of structs x, y in order around the polygon."""
+    ahead = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))
+    crossed = F.zip_with(points, ahead, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"])
+    return F.abs(F.aggregate(crossed, F.lit(0.0), lambda s, v: s + v.cast("double"))) / 2
+
+
+def to_source(b: Column, scale: Column, width: Column, height: Column) -> Column:
+    """A box in working pixels as one in the source image, rounded half to even and kept inside it."""
+    at = lambda name: F.rint(b[name] / scale).cast("int")
+    return box(F.greatest(F.lit(0), at("x0")), F.greatest(F.lit(0), at("y0")), F.least(width, at("x1")), F.least(height, at("y1")))
+
+
 def box_problem(b: Column, width: Column, height: Column) -> Column:
     """Why a box is refused, or null."""
     return (

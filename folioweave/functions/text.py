@@ -108,3 +108,8 @@ def stable_number(value: Column) -> Column:
 
 def pair_id(a: Column, b: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", F.least(a, b), F.greatest(a, b)), 256), 1, 20)
+
+
+def slug(value: Column) -> Column:
+    """Lower case; runs of anything but letters and digits are one dash, none at the ends."""
+    return F.trim(F.regexp_replace(F.lower(value), "[^a-z0-9]+", "-"), F.lit("-"))

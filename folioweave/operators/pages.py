@@ -130,6 +130,27 @@ def weighted_quantile(rows: DataFrame, group: str, value: str, weight: str, q: f
     return run.where(c("_c") >= q * c("_t")).groupBy(group).agg(F.min(value).alias("quantile"))
 
 
+def lowest(rows: DataFrame, group: str, score: str, order: str, k: int) -> DataFrame:
+    """The k rows of least score in each group; ties to the earlier."""
+    up = Window.partitionBy(group).orderBy(score, order)
+    return rows.withColumn("_n", F.row_number().over(up)).where(c("_n") <= k).drop("_n")
+
+
+def upper_tail(rows: DataFrame, group: str, value: str, share: float) -> DataFrame:
+    """(group, upper_tail, p50, p95): the mean of the highest share of the values, at least one, and interpolated percentiles.
+
+    Values are counted before they are ordered, so a group's rows need not meet in one task, only its distinct values.
+    """
+    counted = rows.where(c(value).isNotNull()).groupBy(group, c(value).alias("_v")).agg(F.count("*").alias("_c"))
+    down = Window.partitionBy(group).orderBy(c("_v").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = counted.withColumns({"_upto": F.sum("_c").over(down), "_all": F.sum("_c").over(Window.partitionBy(group))})
+    most = F.greatest(F.lit(1), F.round(F.lit(share) * c("_all")))
+    taken = F.greatest(F.lit(0), F.least(c("_c"), most - (c("_upto") - c("_c"))))
+    return run.groupBy(group).agg(
+        (F.sum(c("_v") * taken) / F.sum(taken)).alias("upper_tail"), F.percentile("_v", F.lit(0.5), c("_c")).alias("p50"), F.percentile("_v", F.lit(0.95), c("_c")).alias("p95")
+    )
+
+
 def robust_tiles(rows: DataFrame, group: str, value: str, floor: float = 1e-9) -> DataFrame:
     """The rows with the group's median and median absolute deviation, and ``z``."""
     middle = rows.groupBy(group).agg(F.median(value).alias("median"))

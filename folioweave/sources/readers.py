@@ -100,6 +100,30 @@ def inventory(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def file_inventory(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, folder, bytes, width, height, channels, error) of every image below a folder, each decoded once; an unreadable one has its error."""
+    from ..operators.images import decode
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(c("path").rlike("(?i)\\.(" + "|".join(IMAGE_SUFFIXES) + ")$"))
+    schema = "path string, folder string, bytes long, width int, height int, channels int, error string"
+
+    def measured(raw: bytes) -> tuple:
+        try:
+            h, w, channels = decode(bytes(raw)).shape
+        except ValueError as error:
+            return None, None, None, str(error)
+        return w, h, channels, None
+
+    def run(batches):
+        import pandas as pd
+
+        for rows in batches:
+            out = [(p, p.rsplit("/", 1)[0], len(raw), *measured(raw)) for p, raw in zip(rows["path"], rows["content"])]
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")]).astype({k: "Int32" for k in ("width", "height", "channels")})
+
+    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content").mapInPandas(run, schema)
+
+
 def resolve_library(rows: DataFrame, files: DataFrame) -> DataFrame:
     """(name, path, sha256, status): for each wanted name the smallest path of its files; missing, found, duplicate_same; conflict where bytes differ.
 
@@ -336,6 +360,16 @@ def read_predictions(spark: SparkSession, path: str, mapping: DataFrame | None =
     return rows
 
 
+def read_native_components(spark: SparkSession, path: str) -> DataFrame | None:
+    """(image_id, cluster_id) of a result file that names its clusters, else null."""
+    if not path.endswith(".json"):
+        return None
+    whole = spark.read.option("multiLine", True).json(path)
+    if "clusters" not in whole.columns:
+        return None
+    return whole.select(F.explode("clusters").alias("c")).select(F.explode("c.image_ids").alias("image_id"), c("c.cluster_id").cast("string").alias("cluster_id"))
+
+
 def match_candidates(candidates: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates with manifest ids and cluster, matched by (sequence, file stem) in lower case; and one row of counts.
 
