@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.text import IMAGE_SUFFIXES, base_name, canonical_id, image_id, series_and_index, stem, to_boolean
+from ..operators.pairs import sequence_index
+from ..operators.ranks import counted_before
 from . import schemas
 
 c = F.col
@@ -37,12 +39,12 @@ def scan_images(spark: SparkSession, folder: str) -> DataFrame:
     inner = F.substring("path", F.lit(len(root) + 2), F.length("path"))
     parent = F.coalesce(F.nullif(F.regexp_extract(inner, "^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))
     placed = files.select(parent.alias("sequence_id"), base_name(c("path")).alias("name"), "path")
-    position = F.row_number().over(Window.partitionBy("sequence_id").orderBy("name")) - 1
-    return placed.select(image_id(c("sequence_id"), c("name")).alias("image_id"), "path", "sequence_id", position.alias("sequence_index"))
+    placed = sequence_index(placed, "sequence_id", ["name"])
+    return placed.select(image_id(c("sequence_id"), c("name")).alias("image_id"), "path", "sequence_id", "sequence_index")
 
 
 def with_global_index(images: DataFrame) -> DataFrame:
-    return images.withColumn("global_index", F.row_number().over(Window.orderBy("sequence_id", "sequence_index")) - 1)
+    return counted_before(images, ["sequence_id", "sequence_index"], "_i").withColumn("global_index", (c("_i") - 1).cast("int")).drop("_i")
 
 
 def ordered_images(spark: SparkSession, paths: Sequence[str], sequence: str = ".") -> DataFrame:
