@@ -275,7 +275,9 @@ def fit_isotonic(rows: DataFrame, score: str, truth: str) -> DataFrame:
 
         knots: list[tuple[float, float]] = []
         for low, high, hits, n in pooled(in_order(batches)):
-            knots += [k for x in dict.fromkeys((low, high)) if (k := (x, hits / n))]
+            for knot in ((low, hits / n), (high, hits / n)):
+                if knots[-1:] != [knot]:
+                    knots.append(knot)
         yield pd.DataFrame({"knot": range(len(knots)), "score": [k[0] for k in knots], "value": [k[1] for k in knots]})
 
     s, t = c(score).cast("double"), c(truth).cast("double")
