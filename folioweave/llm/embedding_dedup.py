@@ -21,9 +21,12 @@ linked to directly or over others), how many other vectors the class has that
 differ, and the cosine to the class's first vector. How classes are found without
 all pairs of a class: see ``links``.
 
-Plan: one Arrow pass makes codes; ``links`` shuffles (band, id, code, planes),
-whose estimate runs in generated code; only the pairs that need it meet their
-vectors, by two joins on ids.
+Plan: one Arrow pass makes codes, written once; ``links`` shuffles (band, id,
+code). Of the pairs that meet, those whose codes differ in no more bits than those
+of pairs at the threshold do, give or take four standard deviations
+(``most_apart``: 1 such pair in 30,000 is lost to it), meet factors and planes by
+two joins on ids, and their estimate runs in generated code; only the pairs that
+need it meet their vectors, by two more.
 
 Defined results: a null, empty or zero vector, or one with a null or non-finite
 entry, has a null class; vectors of different lengths are never linked; rows come
@@ -37,7 +40,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import cache
-from math import acos, ceil, log, log2, pi
+from math import acos, ceil, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +95,12 @@ def bands_of(vectors: int, bits: int = BITS, min_cosine: float = MIN_COSINE) ->
     return np.concatenate(deals)[:n]
 
 
+def most_apart(min_cosine: float, bits: int = BITS) -> int:
+    """How many bits the codes of a pair at the threshold differ in at most, but for one in 30,000."""
+    p = acos(min_cosine) / pi
+    return int(bits * p + 4 * sqrt(bits * p * (1 - p)))
+
+
 def encode(x: np.ndarray, bits: int = BITS) -> dict[str, np.ndarray]:
     """Codes, correction factors and bit planes of (n, dims) unit vectors."""
     turned = x @ rotation(x.shape[1], bits)
@@ -199,22 +208,29 @@ def near_duplicates(table: DataFrame, min_cosine: float = MIN_COSINE) -> DataFra
     bits, bands = code_length(found["dims"] or 1), bands_of(found["n"], min_cosine=min_cosine)
     cosine = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
 
+    codes, limit = cut(coded(distinct, bits)), most_apart(min_cosine, bits)
+
     def near(left: str, right: str) -> Column:
-        alike = F.col(f"{left}.dims") == F.col(f"{right}.dims")
-        return alike & (estimate(left, right, bits) + margin(left, bits) >= min_cosine)
+        apart = F.lit(0)
+        for w in _code(bits):
+            apart = apart + F.bit_count(F.col(f"{left}.{w}").bitwiseXOR(F.col(f"{right}.{w}")))
+        return (F.col(f"{left}.dims") == F.col(f"{right}.dims")) & (apart <= limit)
 
     def exact(pairs: DataFrame) -> DataFrame:
         return (
             pairs.distinct()
+            .join(codes.select(F.col("id").alias("a"), F.struct(*_code(bits), "factor").alias("l")), "a")
+            .join(codes.select(F.col("id").alias("b"), F.struct(*_planes(bits), "total", "low", "step").alias("r")), "b")
+            .where(estimate("l", "r", bits) + margin("l", bits) >= min_cosine)
+            .select("a", "b")
             .join(distinct.select(F.col("id").alias("a"), F.col("unit").alias("x")), "a")
             .join(distinct.select(F.col("id").alias("b"), F.col("unit").alias("y")), "b")
             .where(cosine >= min_cosine)
             .select("a", "b")
         )
 
-    payload = ["dims", *_longs(bits), "factor", "low", "step"]
     wide = np.arange(BITS).reshape(8, -1)
-    roots = linked(coded(distinct, bits), payload, near, lambda x: _banded(x, wide, bits), lambda x: _banded(x, bands, bits), exact)
+    roots = linked(codes, ["dims", *_code(bits)], near, lambda x: _banded(x, wide, bits), lambda x: _banded(x, bands, bits), exact)
     known = cut(classes(distinct.select("id", "first_id", "key", "unit"), roots))
     lead = known.groupBy("class_id").agg(F.min(F.struct("first_id", "key", "unit")).alias("lead"))
     of = known.join(lead, "class_id").select(
