@@ -354,7 +354,7 @@ def all_classed(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(own: pa.Table, found: pa.Table) -> pa.Table:
         x, which = np.frombuffer(own["seq"][0].as_py(), symbol).copy(), np.frombuffer(own["places"][0].as_py(), np.int32)
-        n = len(own["tail"][0].as_py().split())
+        n = own["n_tail"][0].as_py()
         at = found["at"].to_numpy()
         assert len(at) == n == len(np.unique(at)), "a word was not found again"
         classes, logs = np.zeros(n, symbol), np.zeros(n)
@@ -367,7 +367,10 @@ def all_classed(docs: DataFrame, model: Model) -> DataFrame:
 
     answered = _answered(_asked(blocks, k), model)
     kind = dict(docs.dtypes)["doc_id"]
-    return cut(blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, f"ids array<{kind}>, sizes array<long>, log_n array<double>, seq binary"))
+    # the blocks' words stay behind
+    n_tail = F.when(F.col("tail") == "", 0).otherwise(F.size(F.split("tail", " "))).alias("n_tail")
+    own = blocks.select("block", "ids", "sizes", "log_n", "seq", "places", n_tail)
+    return cut(own.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(run, f"ids array<{kind}>, sizes array<long>, log_n array<double>, seq binary"))
 
 
 def whole_table(classed: DataFrame, k: int) -> np.ndarray:
