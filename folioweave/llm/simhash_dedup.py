@@ -4,36 +4,22 @@ A document's fingerprint has 256 bits: bit i is the majority of bit i in the
 hashes of its distinct words (lower case, punctuation apart). Two documents are
 near copies if their fingerprints differ in at most ``max_distance`` bits.
 
-Bits are taken in pairs; the number of set bits in each of the 128 segments
-embeds the fingerprint in a space in which the Manhattan distance never exceeds
-the Hamming distance. The segments are dealt to grids of ``dims`` dimensions. In
-each grid a range join finds all pairs at a Manhattan distance of at most 1, and
-those at 2 that differ by one up in one dimension and one down in another: a
-fingerprint enters its own cell and the cells one step down in one dimension,
-and two fingerprints meet where they share a cell. By the pigeonhole principle a
-pair meets for certain up to distance 2 * grids - 1 (17 with the 9 disjoint grids
-of 9); at greater distances it meets in some grid with the probability that
-``meeting`` gives, and there are so many grids that it is ``RECALL`` at
-``max_distance`` itself. Pairs that meet pass the Manhattan bound over the
-popcounts of the first two words, then the Hamming distance of these, and last the
-exact Hamming distance of all four. Of two words a pair at ``max_distance`` has
-half its differing bits, give or take; ``half_limit`` lies four standard
-deviations above, so that 1 such pair in 30,000 is lost to it and hardly any pair
-that is no link is handed on.
-
-A range join that loses nothing at distance 44 cannot prune: with 64 segments or
-fewer the bound passes too many unlike pairs (at 32 segments every seventh), with
-more a pair may differ by a step in any of them, and the pigeonhole principle over
-groups of segments would have to visit so many cells that 0.4 of all pairs meet.
+Bits are taken as segments of one; the number of set bits in each embeds the
+fingerprint in a space in which the Manhattan distance never exceeds the Hamming
+distance. The segments are dealt to disjoint grids, and a range join in each grid
+compares every cell with the cells within a radius; the radii are such that no pair
+within ``max_distance`` is lost (pigeonhole principle). See ``hamming``, which also
+says how few pairs are compared. Wider segments thin the pairs less: with 64 segments
+or fewer the Manhattan bound passes too many unlike pairs (at 32 every seventh).
 
 Equal fingerprints are joined without any search. Groups are the connected
 components; the lowest doc_id of each stays. How they are found without all pairs
 of a group: see ``links``.
 
-Plan: one Arrow pass makes fingerprints, written once; ``links`` shuffles (cell,
-id, class, half a fingerprint); the few pairs that these let pass meet the other
-halves by two joins on ids. ``dims`` grows with the logarithm of the number of fingerprints,
-so that a cell holds as many unlike ones at any size.
+Plan: one Arrow pass makes fingerprints, written once; stars in ``links`` join the
+big groups first; then blocks of whole fingerprints are shuffled, one copy for each
+other block, and compared in pairs of blocks. Comparisons grow with the square of the
+number of distinct fingerprints, the shuffle with that number times the blocks.
 
 Defined results: documents without a word (null, empty, only punctuation) are
 never copies; very long texts count whole; rows of equal doc_id are one document
@@ -55,15 +41,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, text_runs
-from .links import linked
+from .components import components
+from .hamming import within
+from .links import starred
 
 BITS = 256
 SEGMENT = 2
 MAX_DISTANCE = 44
-#: Dimensions of a grid up to ``ROWS`` fingerprints; one more for every further growth by 8/3, by which a dimension thins cells.
-DIMS, ROWS = 9, 300_000
-#: How likely a pair at the greatest distance is to meet.
-RECALL = 0.95
+#: Dimensions of a grid of popcounts, and how likely a pair at the greatest distance is to meet in these. ``copies`` does not search by them.
+DIMS, RECALL = 9, 0.95
 WORDS = ["f0", "f1", "f2", "f3"]
 
 _WORD = re.compile(r"\w+")
@@ -109,10 +95,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{w} long" for w in WORDS))
 
 
-def dims_for(rows: int) -> int:
-    return DIMS + max(0, ceil(log(max(rows, 1) / ROWS) / log(8 / 3)))
-
-
 def meeting(dims: int, distance: int) -> float:
     """The probability that a pair at a Hamming distance meets in one grid."""
     q = distance / BITS
@@ -160,21 +142,6 @@ def _distance(left: str, right: str, words: list[str] = WORDS) -> tuple[Column,
     return bound, exact
 
 
-def _placed(prints: DataFrame, dims: int, max_distance: int) -> DataFrame:
-    """``prints`` with the array of their cells."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                words = np.stack([part.column(w).to_numpy(zero_copy_only=False) for w in WORDS], axis=1)
-                found, sizes = cells(popcounts(words), dims, max_distance)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(found))], [*part.schema.names, "cells"])
-
-    return prints.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in prints.dtypes) + ", cells array<long>")
-
-
 def _halves(prints: DataFrame) -> DataFrame:
     """``prints`` with the eight 32-bit halves of their words as cells."""
     parts = [x for w in WORDS for x in (F.shiftright(F.col(w), 32), F.col(w).bitwiseAND(F.lit(2**32 - 1)))]
@@ -196,8 +163,8 @@ def groups(prints: DataFrame, max_distance: int = MAX_DISTANCE, extra: DataFrame
         both = pairs.distinct().join(whole.toDF("a", "l"), "a").join(whole.toDF("b", "r"), "b")
         return both.where(_distance("l", "r")[1] <= max_distance).select("a", "b")
 
-    dims = dims_for(prints.count())
-    return linked(prints, WORDS[:2], near, _halves, lambda rows: _placed(rows, dims, max_distance), exact, extra, carried=tuple(WORDS[2:]))
+    first, rooted = starred(prints, WORDS[:2], near, _halves, exact, extra, tuple(WORDS[2:]))
+    return components(first.union(within(rooted, WORDS, max_distance)))
 
 
 def copies(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from folioweave.llm import embedding_dedup, links, lz_fingerprint, packing, simhash_dedup
+from folioweave.llm import embedding_dedup, hamming, links, lz_fingerprint, packing, simhash_dedup
 from folioweave.llm.components import components
 from folioweave.llm.queries import QUERIES
 
@@ -122,6 +122,48 @@ def test_grids_lose_nothing_up_to_the_pigeonhole_bound_and_recall_holds_at_the_l
     assert abs(met(128, 1500) - len(simhash_dedup._segments(dims, most)) * simhash_dedup.meeting(dims, 128)) < 0.03
 
 
+def at_distances(distances, seed=21):
+    """Fingerprints in pairs (rows 2 i and 2 i + 1) at just these distances."""
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 2, (len(distances), simhash_dedup.BITS)).astype(np.uint8)
+    y = np.array([flipped(rng, row, d) for row, d in zip(x, distances)])
+    return np.packbits(np.stack([x, y], axis=1).reshape(-1, simhash_dedup.BITS), axis=1).view(">i8").astype(np.int64)
+
+
+def test_simhash_links_every_pair_at_the_limit_and_none_beyond(spark):
+    most = simhash_dedup.MAX_DISTANCE
+    words = at_distances([most] * 400 + [most + 1] * 100)
+    prints = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words)], "id long, f0 long, f1 long, f2 long, f3 long")
+    got = {tuple(r) for r in simhash_dedup.groups(prints).select("node", "root").collect()}
+    assert got == {(2 * i + 1, 2 * i) for i in range(400)}
+
+
+@pytest.mark.parametrize("most", [5, 44, 60])
+@pytest.mark.parametrize("parts", [1, 3])
+@pytest.mark.parametrize("grids_from", [0, 2**40])
+def test_blocks_of_fingerprints_lose_no_pair(monkeypatch, grids_from, parts, most):
+    """Both ways of searching, within a block and between two, and with one cell full."""
+    monkeypatch.setattr(hamming, "GRIDS_FROM", grids_from)
+    monkeypatch.setattr(hamming, "STEP", 50)
+    monkeypatch.setattr(hamming, "WIDE", 70)
+    words = np.concatenate([at_distances([d for d in (0, 1, most - 1, most, most + 1) for _ in range(15)]), np.arange(80)[:, None] * np.ones(4, np.int64)])
+    far = np.bitwise_count((words[:, None] ^ words[None]).view(np.uint64)).sum(2, dtype=int)
+    same = {(min(p), max(p)) for part in range(parts) for i, j in hamming.pairs(words, words, True, most, part, parts) for p in zip(i.tolist(), j.tolist())}
+    assert same == {(i, j) for i, j in zip(*np.nonzero(far <= most)) if i < j}
+    left, right = words[::2], words[1::2]
+    two = {p for part in range(parts) for i, j in hamming.pairs(left, right, False, most, part, parts) for p in zip(i.tolist(), j.tolist())}
+    assert two == set(zip(*np.nonzero(far[::2, 1::2] <= most)))
+
+
+def test_several_blocks_and_tasks_link_the_same(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "BLOCK", 60)
+    monkeypatch.setattr(hamming, "PAIRS", 1000)
+    words = at_distances([simhash_dedup.MAX_DISTANCE] * 80)
+    items = spark.createDataFrame([(i, i, *map(int, w)) for i, w in enumerate(words)], "id long, root long, f0 long, f1 long, f2 long, f3 long")
+    got = {(min(r), max(r)) for r in map(tuple, hamming.within(items, simhash_dedup.WORDS, simhash_dedup.MAX_DISTANCE).collect())}
+    assert got == {(2 * i, 2 * i + 1) for i in range(80)}
+
+
 def test_simhash_groups_equal_brute_force(spark, docs):
     rows = docs.collect()
     bits, _ = simhash_dedup.fingerprint_bits([r["text"] for r in rows])
