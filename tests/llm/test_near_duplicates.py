@@ -257,6 +257,46 @@ def test_fingerprint_classes_equal_brute_force(spark):
         assert abs(r["similarity"] - max(0.0, (share - 1 / 256) / (1 - 1 / 256))) < 1e-9
 
 
+def test_fingerprints_link_every_pair_at_the_threshold_and_none_below(spark, monkeypatch):
+    """Pairs of signatures that agree in just as many bytes as the threshold asks, or in one byte less."""
+    least = lz_fingerprint.least_equal(lz_fingerprint.MIN_SIMILARITY)
+    rng = np.random.default_rng(31)
+    rows = []
+    for i in range(500):
+        x = rng.integers(0, 256, lz_fingerprint.HASHES).astype(np.uint8)
+        y = x.copy()
+        y[rng.choice(len(x), len(x) - least + (i >= 400), replace=False)] ^= rng.integers(1, 256, dtype=np.uint8)
+        rows += [x, y]
+    texts = {f"t{i}": row for i, row in enumerate(rows)}
+    monkeypatch.setattr(lz_fingerprint, "fingerprints", lambda docs: planted(docs, texts))
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(len(rows))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lz_fingerprint.similar_documents(docs).collect()}
+    assert sum(r["n_links"] > 0 for r in got.values()) == 800
+    assert all(got[2 * i + 1]["class_id"] == 2 * i for i in range(400))
+
+
+def planted(docs, texts):
+    """The fingerprints of ``docs`` with other signatures."""
+    signs = np.array([texts[r["text"]] for r in docs.orderBy("doc_id").collect()])
+    planes = [np.packbits((signs >> k) & 1, axis=1).view("<i8")[:, 0] for k in range(3)]
+    rows = [(i, 9, *map(int, word), *(int(p[i]) for p in planes)) for i, word in enumerate(np.ascontiguousarray(signs).view("<i8"))]
+    kinds = [f"{s} long" for s in [*lz_fingerprint.SIGNATURE, "p0", "p1", "p2"]]
+    return docs.sparkSession.createDataFrame(rows, ", ".join(["doc_id long", "n_phrases long", *kinds]))
+
+
+def test_cells_and_lower_bits_hold_every_pair_at_any_threshold(spark):
+    rng = np.random.default_rng(32)
+    for share in (0.1, 0.3, 0.5, 0.8, 1.0):
+        least = lz_fingerprint.least_equal(share)
+        x = rng.integers(0, 256, (200, lz_fingerprint.HASHES)).astype(np.uint8)
+        y = np.array([np.where(np.isin(np.arange(len(v)), rng.choice(len(v), least, replace=False)), v, v ^ 8) for v in x]).astype(np.uint8)
+        words = [np.ascontiguousarray(v).view("<i8") for v in (x, y)]
+        rows = [(k, i, *map(int, w)) for k in (0, 1) for i, w in enumerate(words[k])]
+        placed = spark.createDataFrame(rows, ", ".join(["side int", "i long", *(f"{s} long" for s in lz_fingerprint.SIGNATURE)])).withColumn("cells", lz_fingerprint.cells(least))
+        of = {(r["side"], r["i"]): set(r["cells"]) for r in placed.collect()}
+        assert all(of[0, i] & of[1, i] for i in range(200)), share
+
+
 def test_signatures_estimate_jaccard(docs):
     rows = docs.collect()
     sets = [lz_fingerprint.phrases(r["text"]) for r in rows]
