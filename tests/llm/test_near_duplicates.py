@@ -138,6 +138,16 @@ def test_simhash_links_every_pair_at_the_limit_and_none_beyond(spark):
     assert got == {(2 * i + 1, 2 * i) for i in range(400)}
 
 
+def test_pipeline_drops_one_of_every_pair_at_the_limit(spark, monkeypatch):
+    words = at_distances([simhash_dedup.MAX_DISTANCE] * 400, 23)
+    prints = spark.createDataFrame([(i, *map(int, w)) for i, w in enumerate(words)], "doc_id long, f0 long, f1 long, f2 long, f3 long")
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda docs: prints)
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(800)], "doc_id long, text string")
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    # equal fingerprints apart, the lower id of each pair stays
+    assert sorted(kept) == list(range(0, 800, 2))
+
+
 @pytest.mark.parametrize("most", [5, 44, 60])
 @pytest.mark.parametrize("parts", [1, 3])
 @pytest.mark.parametrize("grids_from", [0, 2**40])
