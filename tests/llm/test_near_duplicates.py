@@ -307,6 +307,55 @@ def test_cells_and_lower_bits_hold_every_pair_at_any_threshold(spark):
         assert all(of[0, i] & of[1, i] for i in range(200)), share
 
 
+def signed(rng, n, kinds):
+    """Pairs of signatures that agree in just as many bytes as the threshold asks, or in one less, and some with few kinds of bytes in the first groups."""
+    least = lz_fingerprint.least_equal(lz_fingerprint.MIN_SIMILARITY)
+    x = rng.integers(0, 256, (n, lz_fingerprint.HASHES)).astype(np.uint8)
+    x[n // 2 :, :40] = rng.integers(0, kinds, (n - n // 2, 40))
+    y = x.copy()
+    for i, row in enumerate(y):
+        row[rng.choice(len(row), len(row) - least + i % 2, replace=False)] ^= rng.integers(1, 256, dtype=np.uint8)
+    return np.concatenate([x, y])
+
+
+@pytest.mark.parametrize("block, held", [(links.BLOCK, links.HELD), (1, 40), (links.BLOCK, 40)])
+def test_routes_lose_no_pair_of_different_classes(spark, monkeypatch, block, held):
+    """Also where halves and cells have many rows, and where a task takes its routes in parts."""
+    monkeypatch.setattr(links, "BLOCK", block)
+    monkeypatch.setattr(links, "COUNTED", 1)
+    monkeypatch.setattr(lz_fingerprint, "HELD", held)
+    least = lz_fingerprint.least_equal(lz_fingerprint.MIN_SIMILARITY)
+    signs = signed(np.random.default_rng(41), 300, 3)
+    texts = {f"t{i}": row for i, row in enumerate(signs)}
+    prints = planted(spark.createDataFrame([(i, f"t{i}") for i in range(len(signs))], "doc_id long, text string"), texts)
+    rooted = prints.withColumnRenamed("doc_id", "id").withColumn("root", F.when(F.col("id") < 20, F.lit(0)).otherwise(F.col("id")).cast("long"))
+    got = [tuple(r) for found in lz_fingerprint.meetings(rooted, least) for r in found.collect()]
+    equal, low = (signs[:, None] == signs[None]).sum(2), ((signs[:, None] & 7) == (signs[None] & 7)).sum(2)
+    want = {(i, j) for j in range(len(signs)) for i in range(j) if equal[i, j] >= least and j >= 20}
+    assert len(want) >= 150 and want <= set(got)
+    assert all(low[i, j] >= least and i < j and j >= 20 for i, j in got)
+
+
+def test_fingerprints_shuffle_half_as_many_rows_as_there_are_cells(spark, monkeypatch):
+    signs = signed(np.random.default_rng(42), 500, 256)
+    texts = {f"t{i}": row for i, row in enumerate(signs)}
+    monkeypatch.setattr(lz_fingerprint, "fingerprints", lambda docs: planted(docs, texts))
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(len(signs))], "doc_id long, text string")
+    before = set(written(spark))
+    assert lz_fingerprint.similar_documents(docs).count() == len(signs)
+    rows = sum(n for stage, n in written(spark).items() if stage not in before)
+    assert 32 * len(signs) < rows < 75 * len(signs)
+
+
+def written(spark):
+    """Rows that each stage wrote to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    none = sc._jvm.java.util.ArrayList
+    stages = sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())
+    return {(s := stages.apply(i)).stageId(): s.shuffleWriteRecords() for i in range(stages.size())}
+
+
 def test_signatures_estimate_jaccard(docs):
     rows = docs.collect()
     sets = [lz_fingerprint.phrases(r["text"]) for r in rows]
