@@ -146,7 +146,10 @@ def constrained_groups(items: DataFrame, pairs: DataFrame, max_size: int | None
 
 
 def representatives(members: DataFrame, pairs: DataFrame, group: str = "root") -> DataFrame:
-    """(sequence_id, group, representative): the member of largest summed confidence over accepted pairs inside; ties to the earlier."""
+    """(sequence_id, group, representative): the member of largest summed confidence over accepted pairs inside; ties to the earlier.
+
+    A member's confidences are added from the lowest up, so that equal ones give equal sums in whatever order the rows come.
+    """
     inside = members.select("sequence_id", "image_id", group)
     ends = (
         pairs.where("same_document")
@@ -155,7 +158,7 @@ def representatives(members: DataFrame, pairs: DataFrame, group: str = "root") -
         .where("_g1 = _g2")
         .select("sequence_id", F.explode(F.array("first_image_id", "second_image_id")).alias("image_id"), "confidence")
         .groupBy("sequence_id", "image_id")
-        .agg(F.sum("confidence").alias("degree"))
+        .agg(F.aggregate(F.sort_array(F.collect_list("confidence")), F.lit(0.0), lambda total, x: total + x).alias("degree"))
     )
     best = F.max_by("image_id", F.struct(F.coalesce("degree", F.lit(0.0)).alias("d"), (-c("sequence_index")).alias("i")))
     return members.join(ends, ["sequence_id", "image_id"], "left").groupBy("sequence_id", group).agg(best.alias("representative"))

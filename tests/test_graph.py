@@ -83,3 +83,14 @@ def test_neighbours_equal_a_loop_whatever_the_blocks(spark, monkeypatch, block):
     index = {(r["s"], r["k"]): r["sequence_index"] for r in pairs.sequence_index(items, "s", ["o", "k"]).collect()}
     assert index == {(s, k): i for s, v in by.items() for i, k in enumerate(v)}
     assert pairs.neighbour_pairs(items.limit(0), "s", ["o"], ["k"]).count() == 0
+
+
+def test_equal_confidences_tie_in_whatever_order_they_come(spark):
+    """Added in the order of rows, the same three confidences differ in the last bit, and the later member would win."""
+    x, y, z = 0.2849, 0.49, 0.35
+    assert x + y + z != z + y + x
+    rows = [(1, 3, x), (1, 4, y), (1, 5, z), (2, 6, z), (2, 7, y), (2, 8, x)]
+    members = spark.createDataFrame([("s", i, i, 1) for i in range(1, 9)], "sequence_id string, image_id int, sequence_index int, root int")
+    for order in (rows, rows[::-1]):
+        linked = spark.createDataFrame([("s", *r, True) for r in order], "sequence_id string, first_image_id int, second_image_id int, confidence double, same_document boolean").coalesce(1)
+        assert [r["representative"] for r in graph.representatives(members, linked).collect()] == [1]
