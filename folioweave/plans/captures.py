@@ -53,6 +53,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "sequence_id", F.col("a.image_id").alias("first_image_id"), F.col("b.image_id").alias("second_image_id"),
         F.col("a.path").alias("first_path"), F.col("b.path").alias("second_path"), F.col("gap").cast("int").alias("index_gap"),
     )
+    # the measurements and rules cost far more than the pairs, which come in a task for every block of items
+    out = out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "first_image_id", "second_image_id")
     # one digest a metric is computed in a step of its own, as the powers use it again
     out = out.withColumns({f"_u_{name}": _unit(name) for name in METRICS})
     columns = {"registration_model": F.when(_digits("model") % 9 > 0, "affine"), "registration_fallback_used": _digits("fallback") % 5 == 0}

@@ -1,8 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from folioweave.operators import graph, pairs
+from folioweave.plans import captures
 
 #: (a, b, accepted, confidence, blocks, bridgeable, bridge)
 EDGE = lambda a, b, conf=0.9, bridge=False: (a, b, True, conf, False, False, bridge)
@@ -94,3 +96,37 @@ def test_equal_confidences_tie_in_whatever_order_they_come(spark):
     for order in (rows, rows[::-1]):
         linked = spark.createDataFrame([("s", *r, True) for r in order], "sequence_id string, first_image_id int, second_image_id int, confidence double, same_document boolean").coalesce(1)
         assert [r["representative"] for r in graph.representatives(members, linked).collect()] == [1]
+
+
+def test_groups_of_many_components_in_small_batches_run_once(spark):
+    """The groups equal those of a loop, although batches end inside components, and no later step runs the union again."""
+    rng = random.Random(5)
+    rows = []
+    for s in "xyz":
+        for i in range(30):
+            for j in range(i + 1, min(i + 4, 30)):
+                wall = rng.random() < 0.3
+                rows.append((s, i, j, j - i, not wall and rng.random() < 0.4, rng.random(), wall))
+    found = spark.createDataFrame(rows, "sequence_id string, first_image_id int, second_image_id int, index_gap int, same_document boolean, confidence double, hard_contradiction boolean")
+    measures = ("unmatched_ink_union_fraction", "ink_mismatch_tiles_fraction", "residual_tiles_changed_fraction", "valid_fraction", "feature_overlap", "changed_fraction", "occlusion_area_fraction", "occlusion_residual_capture", "occlusion_material_fraction",
+                "occlusion_material_median", "outside_unmatched_ink_union_fraction", "outside_ink_mismatch_tiles_fraction", "inside_unmatched_ink_union_fraction", "occlusion_evidence", "occlusion_ink_mismatch_capture", "occlusion_localization_contrast")
+    found = found.withColumns({m: F.lit(0.0) for m in measures} | {n: F.lit(0) for n in ("occlusion_candidate_count", "full_page_occlusion_count")})
+    found = found.withColumns({"registration_model": F.lit("affine"), "branch": F.lit("near_duplicate"), "automatic_link_eligible": F.lit(True)})
+    items = spark.createDataFrame([(s, i, i) for s in "xyz" for i in range(30)], "sequence_id string, image_id int, sequence_index int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        members = graph.constrained_groups(items, found)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for s in "xyz":
+        roots = graph.union_constrained(list(range(30)), [(a, b, same, confidence, wall, False, False) for q, a, b, _, same, confidence, wall in rows if q == s])
+        want |= {(s, n): r for n, r in roots.items()}
+    assert {(r["sequence_id"], r["image_id"]): r["root"] for r in members.collect()} == want
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan
+
+
+def test_measurements_of_one_block_are_spread_over_tasks(spark):
+    rows = captures.pairs(spark, "/root/testdata/sf0.001").select(F.spark_partition_id().alias("task")).distinct().count()
+    assert rows > 1
