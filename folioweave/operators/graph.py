@@ -10,10 +10,9 @@ rules need are columns.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,50 +127,23 @@ def constrained_groups(items: DataFrame, pairs: DataFrame, max_size: int | None
     both = many.withColumn("p", F.lit(None).cast(flagged.schema["p"].dataType)).unionByName(
         flagged.withColumns({"image_id": F.lit(None).cast(kinds["image_id"]), "sequence_index": F.lit(None).cast(kinds["sequence_index"])})
     )
-    # a component's items come first, then its pairs; the number of tasks is named, as small rows would be put into few
-    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    together = both.repartition(tasks, "sequence_id", "root").sortWithinPartitions("sequence_id", "root", c("p").isNotNull(), "sequence_index")
 
-    def one(members: list[tuple], found: list[dict]) -> list:
-        nodes = [n for n, _ in members]
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        mine = rows[rows["image_id"].notna()].sort_values("sequence_index", kind="stable")
+        nodes = mine["image_id"].tolist()
         place = {n: i for i, n in enumerate(nodes)}
+        found = [dict(p) if not hasattr(p, "asDict") else p.asDict() for p in rows.loc[rows["image_id"].isna(), "p"] if p is not None]
         found.sort(key=lambda p: (place[p["first_image_id"]], p["index_gap"]))
         edges = [tuple(p[k] for k in ("first_image_id", "second_image_id", "same_document", "confidence", "blocks", "bridgeable", "bridge")) for p in found]
         roots = union_constrained(nodes, edges, max_size)
-        return [roots[n] for n in nodes]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Component after component; a task holds a batch of rows and one component."""
-        key, members, found, out = None, [], [], []
-
-        def closed() -> None:
-            if members:
-                out.extend((key[0], n, i, r) for (n, i), r in zip(members, one(members, found)))
-
-        def sent() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], ["sequence_id", "image_id", "sequence_index", "root"])
-
-        for batch in batches:
-            types = [batch.schema.field(k).type for k in ("sequence_id", "image_id", "sequence_index", "root")]
-            for s, n, i, r, p in zip(*(batch.column(k).to_pylist() for k in ("sequence_id", "image_id", "sequence_index", "root", "p"))):
-                if key != (s, r):
-                    closed()
-                    key, members, found = (s, r), [], []
-                if p is None:
-                    members.append((n, i))
-                else:
-                    found.append(p)
-            if out:
-                yield sent()
-                out = []
-        closed()
-        if out:
-            yield sent()
+        out = mine[["sequence_id", "image_id", "sequence_index"]].copy()
+        out["root"] = [roots[n] for n in nodes]
+        return out
 
     schema = f"sequence_id {kinds['sequence_id']}, image_id {kinds['image_id']}, sequence_index {kinds['sequence_index']}, root {kinds['image_id']}"
     alone = joined.where("n = 1").select("sequence_id", "image_id", "sequence_index", "root")
     # records and representatives read the groups several times
-    return materialize(together.select("sequence_id", "image_id", "sequence_index", "root", "p").mapInArrow(run, schema).unionByName(alone))
+    return materialize(both.groupBy("sequence_id", "root").applyInPandas(one, schema).unionByName(alone))
 
 
 def representatives(members: DataFrame, pairs: DataFrame, group: str = "root") -> DataFrame:
